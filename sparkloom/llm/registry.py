@@ -6,9 +6,13 @@ import importlib
 
 #: Query name -> module of this subpackage that has it.
 QUERIES = {
+    "op1_secrets": "secrets",
     "op2_telephony": "telephony",
+    "op3_virtual_slots": "sharding",
     "op5_repetition": "repetition",
+    "op6_lattice": "lattice",
     "op7_packing": "packing",
+    "op9_simhash": "simhash",
     "op10_bpe_codec": "bpe_codec",
 }
 
