@@ -12,6 +12,7 @@ QUERIES = {
     "op5_repetition": "repetition",
     "op6_lattice": "lattice",
     "op7_packing": "packing",
+    "op8_suffixes": "suffixes",
     "op9_simhash": "simhash",
     "op10_bpe_codec": "bpe_codec",
 }
