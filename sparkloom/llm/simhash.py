@@ -12,7 +12,8 @@ together, one level at a time, in numpy.
 A group yields the links of a spanning star for each of its components, never all pairs. Components
 over all groups follow by alternating large-star and small-star steps on tables. Block values with
 too many entries for one task are split once more by the same principle on the bits that are left
-(at most 3 differences among 48, then 36, bits leave one of 4 parts alike), which is exact.
+(at most 3 differences among those 48 leave one of 4 parts alike, and so on), which is exact. Other
+distances take one part more than the distance.
 
 Defined results: a null text counts as the empty one; texts without words have fingerprint zero, which
 links like any other; texts with fewer words than a shingle have one shingle of all of them; equal
@@ -52,7 +53,10 @@ def shingle_hashes(text: str, size: int) -> np.ndarray:
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
     """Bits that are set in over half the shingle hashes, repeats included; unsigned."""
-    h = shingle_hashes(text, size)
+    return majority(shingle_hashes(text, size))
+
+
+def majority(h: np.ndarray) -> int:
     if not len(h):
         return 0
     set_ = np.zeros(64, np.int64)
@@ -61,6 +65,16 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * set_ > len(h)).tobytes(), "big")
 
 
+def rehashed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of several independent hashes made from one; the first is the hash itself."""
+    if not k:
+        return h
+    x = (h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -165,43 +179,55 @@ class GrayIndex:
         return self.codes[away], self.codes[label[away]]
 
 
-def _part(fp: Column, free: int, width: int, j: int) -> Column:
-    """Part j, of ``width`` bits, of the lowest ``free`` bits."""
-    return F.shiftrightunsigned(fp, free - width * (j + 1)).bitwiseAND(F.lit((1 << width) - 1))
+def _widths(bits: int, parts: int) -> list[int]:
+    return [bits // parts + (j < bits % parts) for j in range(parts)]
+
+
+def _turned(value: Column, bits: int, by: int) -> Column:
+    """The lowest ``bits`` bits of ``value`` turned left by ``by`` places."""
+    if not by:
+        return value
+    turned = F.shiftleft(value, by).bitwiseOR(F.shiftrightunsigned(value, bits - by))
+    return turned if bits == 64 else turned.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _parted(value: Column, bits: int, parts: int, key: Column, level: int) -> Column:
+    """For each part of ``value``: a key for ``key``, level, part and its bits, hashed to 64 bits (keys
+    that meet by chance only make a group larger), the other bits, and how many they are."""
+    rows, done = [], 0
+    for j, width in enumerate(_widths(bits, parts)):
+        turned = _turned(value, bits, done)
+        part = F.shiftrightunsigned(turned, bits - width)
+        rows.append(F.struct(F.xxhash64(key, F.lit(level), F.lit(j), part).alias("key"), turned.bitwiseAND(F.lit((1 << (bits - width)) - 1)).alias("rest"), F.lit(bits - width).alias("bits")))
+        done += width
+    return F.explode(F.array(*rows))
 
 
-def _block_keys(entries: DataFrame) -> DataFrame:
-    """Each fingerprint under its four block values; ``rest`` has the bits outside the block, lowest."""
-    fp = F.col("fp")
-    rows = []
-    for j in range(4):
-        turned = F.shiftleft(fp, 16 * j).bitwiseOR(F.shiftrightunsigned(fp, 64 - 16 * j)) if j else fp
-        rows.append(F.struct((_part(turned, 64, 16, 0) + F.lit(j << 16)).alias("key"), turned.bitwiseAND(F.lit((1 << 48) - 1)).alias("rest")))
-    return entries.select("fp", F.explode(F.array(*rows)).alias("at")).select("at.key", "at.rest", "fp")
+def _block_keys(entries: DataFrame, distance: int) -> DataFrame:
+    """Each fingerprint under its ``distance + 1`` parts: two within the distance agree in one."""
+    return entries.select("fp", _parted(F.col("fp"), 64, distance + 1, F.lit(0).cast("long"), 0).alias("at")).select("at.*", "fp")
 
 
-def _refined(keys: DataFrame, free: int, flag: int, limit: int) -> DataFrame:
-    """Rows of groups over ``limit`` under four parts of the ``free`` bits that are left, which makes
-    longer keys marked by ``flag``; all other rows as they are."""
-    hot = keys.groupBy("key").count().where(F.col("count") > limit).select("key", F.lit(True).alias("hot"))
-    if not hot.take(1):
+def _refined(keys: DataFrame, distance: int, level: int, limit: int) -> DataFrame:
+    """Rows of groups over ``limit`` under parts of the bits that are left; all other rows as they are."""
+    hot = keys.groupBy("key", "bits").count().where(F.col("count") > limit).select("key", "bits", F.lit(True).alias("hot"))
+    bits = sorted(r.bits for r in hot.select("bits").distinct().collect())  # two values at most a level
+    if not bits:
         return keys
-    width, rest, rows = free // 4, F.col("rest"), []
-    for j in range(4):
-        turned = F.shiftleft(rest, width * j).bitwiseOR(F.shiftrightunsigned(rest, free - width * j)).bitwiseAND(F.lit((1 << free) - 1)) if j else rest
-        longer = F.shiftleft("key", width + 2).bitwiseOR(F.lit(j << width)).bitwiseOR(_part(turned, free, width, 0)).bitwiseOR(F.lit(flag))
-        rows.append(F.struct(longer.alias("key"), turned.bitwiseAND(F.lit((1 << (free - width)) - 1)).alias("rest")))
-    marked = keys.join(hot, "key", "left")
-    split = marked.where("hot").select("fp", F.explode(F.array(*rows)).alias("at")).select("at.key", "at.rest", "fp")
-    return marked.where("hot IS NULL").select("key", "rest", "fp").unionByName(split)
+    marked = keys.join(hot, ["key", "bits"], "left")
+    out = marked.where("hot IS NULL").select("key", "rest", "bits", "fp")
+    for n in bits:
+        split = marked.where(F.col("hot") & (F.col("bits") == n)).select("fp", _parted(F.col("rest"), n, distance + 1, F.col("key"), level).alias("at"))
+        out = out.unionByName(split.select("at.*", "fp"))
+    return out
 
 
 def star_links(entries: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (``fp``): for each block value, a star for each
     component of its entries. What is connected by all of them is what is connected at ``distance``."""
-    if not 0 <= distance <= 3:
-        raise ValueError("blocks are made for distances up to 3")
-    keys = _refined(_refined(_block_keys(entries), 48, 1 << 40, group), 36, 1 << 60, group)
+    keys = _block_keys(entries, distance)
+    for level in (1, 2):
+        keys = _refined(keys, distance, level, group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -283,6 +309,134 @@ def grouped(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return prints.join(placed.join(ids, "root").select("fp", "component_id"), "fp")
 
 
+class _Family:
+    """Texts of one candidate family: components by the Jaccard similarity of their shingle sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+
+    def roots(self, similarity: float) -> np.ndarray:
+        """For each text the first text of its component. A search spreads from one text to all that
+        are like it and not reached yet; each step compares one set with those still open at once."""
+        n = len(self.sets)
+        root = np.full(n, -1)
+        for start in range(n):
+            if root[start] >= 0:
+                continue
+            root[start] = start
+            edge = [start]
+            while edge:
+                open_ = np.flatnonzero(root < 0)
+                if not len(open_):
+                    break
+                mine = self.sets[edge.pop()]
+                sizes = np.array([len(self.sets[k]) for k in open_])
+                # Sets whose sizes differ too much cannot be alike.
+                fit = (np.minimum(sizes, len(mine)) >= similarity * np.maximum(sizes, len(mine))) & (sizes > 0)
+                open_, sizes = open_[fit], sizes[fit]
+                if not len(open_) or not len(mine):
+                    continue
+                every = np.concatenate([self.sets[k] for k in open_])
+                at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+                shared = np.add.reduceat((mine[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                like = open_[shared >= similarity * (sizes + len(mine) - shared) - 1e-9]
+                root[like] = start
+                edge += like.tolist()
+        return root
+
+
+def _verified(members: DataFrame, rows: DataFrame, similarity: float, shingle: int, block_bytes: int) -> DataFrame:
+    """``a, b``: stars of texts within candidate families that are connected by similar pairs.
+
+    ``members``: ``t, doc_id, family``. A family whose texts are too many bytes for one task is dealt
+    into blocks, and each two of its blocks meet in a task of their own, so that every pair is compared.
+    """
+    blocks = members.groupBy("family").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "family").withColumn("mine", F.pmod(F.xxhash64("t", F.lit(7)), F.col("blocks")).cast("int"))
+    wanted = dealt.select("t", "d", "family", "mine", "blocks")
+    texts = rows.select("t", "d", "text").join(wanted.hint("shuffle_hash"), ["t", "d"]).select("t", "family", "mine", "blocks", "text")
+
+    def block(c: dict[str, list]) -> dict[str, list]:
+        sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in c.pop("text")]
+        return {**c, "shingles": sets}
+
+    sets = map_arrow(texts, block, "t long, family long, mine int, blocks int, shingles binary", ["t", "family", "mine", "blocks", "text"])
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    meeting = sets.select("t", "family", "mine", other, "shingles").select("t", F.xxhash64("family", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "shingles").dropDuplicates(["task", "t"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            root = _Family([s for _, s in held]).roots(similarity)
+            away = np.flatnonzero(root != np.arange(len(held)))
+            if len(away):
+                ids = np.array([t for t, _ in held], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(ids[root[away]])], names=["a", "b"])
+
+        for batch in batches:
+            for key, t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if key != task:
+                    if len(held) > 1:
+                        yield from flush()
+                    task, held = key, []
+                held.append((t, np.frombuffer(s, np.uint64)))
+        if len(held) > 1:
+            yield from flush()
+
+    return meeting.select("task", "t", "shingles").repartition("task").sortWithinPartitions("task", "t").mapInArrow(run, "a long, b long")
+
+
+def _families(texts: DataFrame, prints: int, distance: int) -> DataFrame:
+    """``t, family`` of the texts (``t, fp0, fp1, ...``) that any of the fingerprints connects to others.
+
+    Texts and fingerprints are nodes: a text hangs on each of its fingerprints that it shares or that
+    is linked, and linked fingerprints hang together.
+    """
+    edges = None
+    for k in range(prints):
+        own = texts.select("t", F.col(f"fp{k}").alias("fp"))
+        node = lambda c, k=k: F.xxhash64(F.lit(k), F.col(c))
+        counted = own.groupBy("fp").count()
+        links = stored(star_links(counted.select("fp"), distance), "near-stars")
+        live = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).union(counted.where("count > 1").select("fp")).distinct()
+        part = links.select(node("a").alias("a"), node("b").alias("b")).unionByName(own.join(live, "fp").select(F.col("t").alias("a"), node("fp").alias("b")))
+        edges = part if edges is None else edges.unionByName(part)
+    found = components(edges, "near-families")
+    whole = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
+    return texts.select("t").join(whole.select(F.col("node").alias("t"), F.col("root").alias("family")), "t")
+
+
+def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, coarse: int = 2, distance: int = 7, prints: int = 3, block_bytes: int = 4_000_000) -> DataFrame:
+    """``df`` (``doc_id``, ``text``, ...) with one row of each group of near-duplicates: the one of the
+    least ``doc_id``. Two texts are linked if the sets of their ``shingle``-word shingles have a Jaccard
+    similarity of at least ``similarity``; groups are what links connect, and equal texts.
+
+    Candidates are families connected by any of ``prints`` independent SimHash fingerprints of
+    ``coarse``-word shingles at ``distance``: a copy at a similarity of 0.8 on five words has about 6
+    bits in 64 changed (7 or less in five of six cases for each fingerprint), unrelated texts hardly
+    ever less than 12. Links are then decided on the shingle sets themselves.
+    Rows alike in ``doc_id`` and text stay together; a null ``doc_id`` comes last in its group.
+    """
+    d, t = F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.xxhash64(text_or_empty())
+    rows = df.select(d.alias("d"), t.alias("t"), text_or_empty().alias("text"))
+    names = [f"fp{k}" for k in range(prints)]
+
+    def block(c: dict[str, list]) -> dict[str, list]:
+        hashes = [shingle_hashes(x, coarse) for x in c["text"]]
+        return {"d": c["d"], "t": c["t"], "size": [len(x) for x in c["text"]], **{n: [signed(majority(rehashed(h, k))) for h in hashes] for k, n in enumerate(names)}}
+
+    schema = ", ".join(f"{n} long" for n in ("d", "t", "size", *names))
+    printed = stored(map_arrow(rows, block, schema, ["d", "t", "text"]), "near-prints")
+    texts = stored(printed.groupBy("t").agg(F.min("d").alias("d"), F.max("size").alias("size"), *(F.min(n).alias(n) for n in names)), "near-texts")
+    members = stored(texts.select("t", "d", "size").join(_families(texts, prints, distance), "t"), "near-members")
+    roots = components(_verified(members, rows, similarity, shingle, block_bytes), "near").withColumnRenamed("node", "t")
+    placed = texts.join(roots, "t", "left").select("t", "d", F.coalesce("root", "t").alias("root"))
+    first = placed.groupBy("root").agg(F.min(F.struct("d", "t")).alias("kept")).select("kept.d", "kept.t")
+    named = df.withColumns({"__d": d, "__t": t})
+    return named.join(first.select(F.col("d").alias("__d"), F.col("t").alias("__t")), ["__d", "__t"], "left_semi").select(*df.columns)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = stored(fingerprints(documents(spark, sf_dir)), "op9-prints")
     return grouped(prints).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
