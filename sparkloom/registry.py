@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from sparkloom.queries import access, aggregates, joins, plans, scans  # noqa: F401  they register themselves
+from sparkloom.queries.base import QUERIES, SQL
+
 FLAGSHIP = "flagship_distinct_join"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

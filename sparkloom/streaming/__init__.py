@@ -1,0 +1 @@
+"""The engine's query surface has no streaming operators; this package is kept for them."""
