@@ -9,27 +9,27 @@ from pyspark.sql import types as T
 
 
 class DataType(Enum):
-    """Types by name: width in bytes (``None``: declared), and the Spark type that stands for it."""
-
-    BIGINT = (8, T.LongType())
-    INT = (4, T.IntegerType())
-    SMALLINT = (2, T.ShortType())
-    TINYINT = (1, T.ByteType())
-    DOUBLE = (8, T.DoubleType())
-    FLOAT = (4, T.FloatType())
-    DATE = (3, T.DateType())
-    TIME = (5, T.StringType())
-    DATETIME = (8, T.TimestampNTZType())
-    CHAR = (None, T.StringType())
-    VARCHAR = (None, T.StringType())
+    """Types: name, width in bytes (``None``: declared), and the Spark type that stands for it."""
+
+    BIGINT = ("BIGINT", 8, T.LongType())
+    INT = ("INT", 4, T.IntegerType())
+    SMALLINT = ("SMALLINT", 2, T.ShortType())
+    TINYINT = ("TINYINT", 1, T.ByteType())
+    DOUBLE = ("DOUBLE", 8, T.DoubleType())
+    FLOAT = ("FLOAT", 4, T.FloatType())
+    DATE = ("DATE", 3, T.DateType())
+    TIME = ("TIME", 5, T.StringType())
+    DATETIME = ("DATETIME", 8, T.TimestampNTZType())
+    CHAR = ("CHAR", None, T.StringType())
+    VARCHAR = ("VARCHAR", None, T.StringType())
 
     @property
     def width(self) -> int | None:
-        return self.value[0]
+        return self.value[1]
 
     @property
     def spark(self) -> T.DataType:
-        return self.value[1]
+        return self.value[2]
 
     @classmethod
     def parse(cls, text: str) -> DataType:
