@@ -2,8 +2,8 @@
 
 Records are hashed into ``SLOTS`` slots whose number never changes. Rows and bytes are summed by
 slot; a map assigns slots to shards. A first map deals slots out in turn. Rebalancing edits it, heaviest
-slots first: a slot stays where it is as long as its shard keeps within the mean, else it moves to the
-shard that has the least so far. Maps are stored as Parquet, one folder a version, so that readers of
+slots first: a slot stays where it is as long as its shard keeps within the mean; those that do not
+fit then move to the shard that has the least so far. Maps are stored as Parquet, one folder a version, so that readers of
 an older version stay consistent.
 
 A row's place in its shard is the number of rows in the shard's earlier slots plus its place in its
@@ -45,15 +45,24 @@ def rebalanced(old: DataFrame, loads: DataFrame, shards: int = SHARDS) -> DataFr
     entry = F.struct(F.col("n_bytes"), F.col("virtual_slot"), F.col("shard"), F.col("n_rows"))
     folded = rows.agg(F.sort_array(F.collect_list(entry), asc=False).alias("slots"), F.sum("n_bytes").alias("total"), F.max("version").alias("version"))
     mean = F.col("total") / shards
+    added = lambda loads, at, n: F.transform(loads, lambda x, i: F.when(i == at, x + n).otherwise(x))
     begin = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"), F.array().cast("array<int>").alias("to"))
 
-    def step(acc: Column, x: Column) -> Column:
-        stays = (x.shard < shards) & (F.get(acc.loads, x.shard) + x.n_bytes <= mean)
+    def stay(acc: Column, x: Column) -> Column:
+        """First the slots that stay, so that no slot that comes takes their place."""
+        fits = (x.shard < shards) & (F.get(acc.loads, x.shard) + x.n_bytes <= mean)
+        to = F.when(fits, x.shard).otherwise(F.lit(-1))
+        return F.struct(added(acc.loads, to, x.n_bytes).alias("loads"), F.concat(acc.to, F.array(to)).alias("to"))
+
+    def move(acc: Column, x: Column) -> Column:
         least = (F.array_position(acc.loads, F.array_min(acc.loads)) - 1).cast("int")
-        to = F.when(stays, x.shard).otherwise(least)
-        return F.struct(F.transform(acc.loads, lambda n, i: F.when(i == to, n + x.n_bytes).otherwise(n)).alias("loads"), F.concat(acc.to, F.array(to)).alias("to"))
+        to = F.when(x.to >= 0, x.to).otherwise(least)
+        return F.struct(F.when(x.to >= 0, acc.loads).otherwise(added(acc.loads, to, x.n_bytes)).alias("loads"), F.concat(acc.to, F.array(to)).alias("to"))
 
-    moved = folded.select("version", "slots", F.aggregate("slots", begin, step, lambda acc: acc.to).alias("to"))
+    stayed = folded.select("version", "slots", F.aggregate("slots", begin, stay).alias("first"))
+    pairs = F.zip_with("slots", "first.to", lambda s, t: F.struct(s.n_bytes.alias("n_bytes"), t.alias("to")))
+    after = F.struct(F.col("first.loads").alias("loads"), F.array().cast("array<int>").alias("to"))
+    moved = stayed.select("version", "slots", F.aggregate(pairs, after, move, lambda acc: acc.to).alias("to"))
     flat = moved.select((F.col("version") + 1).alias("version"), F.explode(F.zip_with("slots", "to", lambda s, t: F.struct(s.virtual_slot.alias("virtual_slot"), t.alias("shard"), s.n_rows.alias("n_rows"), s.n_bytes.alias("n_bytes")))).alias("m"))
     return flat.select("version", "m.*")
 

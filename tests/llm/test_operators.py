@@ -1,0 +1,486 @@
+"""Each operator's query against a brute-force version, on tricky rows and on a small real table."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pyarrow.dataset as ds
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from sparkloom.llm import bpe, bpe_codec, lattice, packing, registry, repetition, secrets, sharding, simhash, suffixes, telephony
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def table(folder):
+    d = ds.dataset(f"{folder}/documents.parquet").to_table(["doc_id", "text"])
+    return list(zip(d["doc_id"].to_pylist(), d["text"].to_pylist(), strict=True))
+
+
+def got(spark, name, folder):
+    return [tuple(r) for r in registry.queries()[name](spark, folder).collect()]
+
+
+def key(rows):
+    return sorted(rows, key=repr)
+
+
+@pytest.fixture(params=["odd", "sf"])
+def folder(request):
+    return request.getfixturevalue(request.param)
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_empty_table(spark, empty, name):
+    assert got(spark, name, empty) == []
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+# 10
+
+
+def test_codec(spark, folder):
+    t = Tokenizer.from_file(BPE)
+    want = []
+    for i, text in table(folder):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        packed = np.array(ids, "<u4").tobytes()
+        want.append((i, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert key(got(spark, "op10_bpe_codec", folder)) == key(want)
+
+
+def test_codec_columns(spark, odd):
+    df = spark.read.parquet(f"{odd}/documents.parquet")
+    out = bpe_codec.decode_column(bpe_codec.encode_column(df))
+    assert out.columns == [*df.columns, "ids", "decoded"]
+    assert all(r.decoded == (r.text or "") for r in out.collect())
+
+
+def test_pair_table_is_exact():
+    v, t = bpe.vocabulary(BPE), Tokenizer.from_file(BPE)
+    rng = np.random.default_rng(0)
+    for a, b in rng.integers(0, 50256, (3000, 2)).tolist():
+        joined = v.token[a] + v.token[b]
+        try:
+            text = joined.decode()
+        except UnicodeDecodeError:
+            continue
+        if len(bpe.encoder(BPE).pattern.findall(text)) != 1:
+            continue
+        assert v.compatible(a, b) == (t.encode(text, add_special_tokens=False).ids == [a, b])
+
+
+# 7
+
+
+def test_packing(spark, folder):
+    t = Tokenizer.from_file(BPE)
+    pieces, sequences, per = defaultdict(list), defaultdict(list), Counter()
+    for doc, start, length, crc, tokens, seq, offset, _ in got(spark, "op7_packing", folder):
+        pieces[doc].append((start, length, crc, tokens))
+        sequences[seq].append((offset, length))
+    for seq in sequences.values():
+        at = 0
+        for offset, length in sorted(seq):
+            assert offset == at and length > 0
+            at += length
+        assert at <= packing.MAX_TOKENS and len(seq) <= packing.MAX_SEGMENTS
+    want = defaultdict(list)
+    for i, text in table(folder):
+        want[i].append([*t.encode(text or "", add_special_tokens=False).ids, 0])
+        per[i] += 1
+    assert set(pieces) == set(want)
+    for i, lists in want.items():
+        assert sum(p[1] for p in pieces[i]) == sum(map(len, lists))
+        if per[i] == 1:
+            at = 0
+            for start, length, crc, tokens in sorted(pieces[i]):
+                assert start == at and tokens == len(lists[0])
+                assert crc == zlib.crc32(np.array(lists[0][start : start + length], "<u4").tobytes())
+                at += length
+    used = sum(length for s in sequences.values() for _, length in s)
+    assert used >= 0.97 * packing.MAX_TOKENS * (len(sequences) - spark.sparkContext.defaultParallelism)
+
+
+def test_pack_keeps_all_limits():
+    rng = np.random.default_rng(2)
+    items = [(i, int(n), int(rng.integers(0, n + 1))) for i, n in enumerate(rng.integers(1, 700, 400))]
+    limits = (512, 5, 300)
+    loss = {i: (n, m) for i, n, m in items}
+    seen = defaultdict(list)
+    for seq in packing.pack(items, limits):
+        bears = sum(max(0, min(s + k, loss[i][0]) - max(s, loss[i][0] - loss[i][1])) for i, s, k in seq)
+        assert sum(k for _, _, k in seq) <= limits[0] and len(seq) <= limits[1] and bears <= limits[2]
+        for i, s, k in seq:
+            seen[i].append((s, k))
+    for i, n, _ in items:
+        at = 0
+        for s, k in sorted(seen[i]):
+            assert s == at
+            at += k
+        assert at == n
+
+
+# 2
+
+
+def test_media(spark, folder):
+    want = {}
+    for i, text in table(folder):
+        raw = (text or "").encode()
+        size = max(192, -(-len(raw) // 192) * 192)
+        want.setdefault(i, []).append((len(raw), size, hashlib.sha256(raw.ljust(size)).hexdigest(), zlib.crc32(raw.ljust(size)[-16:])))
+    rows = got(spark, "op2_telephony", folder)
+    found = defaultdict(list)
+    for r in rows:
+        found[r[0]].append(r[1:5])
+    assert {k: key(v) for k, v in found.items()} == {k: key(v) for k, v in want.items()}
+    same = defaultdict(set)
+    for r in rows:
+        same[r[3]].add(r[2:])
+    assert all(len(v) == 1 for v in same.values())
+
+
+def test_companding_tables():
+    """Against the segment rules written out sample by sample."""
+    for b in range(256):
+        u = ~b & 255
+        mu = ((((u & 15) * 2 + 33) << (u >> 4 & 7)) - 33) * 4
+        assert telephony.mulaw_table()[b] == (-mu if u & 128 else mu)
+        x = b ^ 0x55
+        e, m = x >> 4 & 7, x & 15
+        a = (m * 2 + 1) * 8 if e == 0 else (m * 2 + 33) * 8 << (e - 1)
+        assert telephony.alaw_table()[b] == (a if x & 128 else -a)
+
+
+def one_block(block):
+    """IMA ADPCM, one sample at a time."""
+    value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+    out = [value]
+    for byte in block[4:]:
+        for code in (byte & 15, byte >> 4):
+            step = int(telephony.ima_steps()[index])
+            size = step >> 3
+            for bit, part in ((4, step), (2, step >> 1), (1, step >> 2)):
+                size += part if code & bit else 0
+            value = max(-32768, min(32767, value - size if code & 8 else value + size))
+            index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+            out.append(value)
+    return out
+
+
+def test_adpcm():
+    rng = np.random.default_rng(0)
+    blocks = rng.integers(0, 256, (5, 192)).astype(np.uint8)
+    assert telephony.decode_ima(blocks).tolist() == [one_block(b.tobytes()) for b in blocks]
+    x = (8000 * np.sin(np.arange(4000) / 9)).astype(np.int16)
+    y = telephony.decode_ima(telephony.encode_ima(x)).ravel()[: len(x)]
+    assert np.sqrt(np.mean((x.astype(float) - y) ** 2)) < 300
+    with pytest.raises(ValueError):
+        telephony.from_wav(telephony.to_wav(b"abcd")[:-2])
+    assert len(telephony.resample(x, 8000, 11025)) == 4000 * 11025 // 8000
+
+
+def test_pcm_column(spark):
+    df = spark.createDataFrame([(bytearray(telephony.to_wav(b"\x00\x7f\xff\x80")),), (None,)], "media binary")
+    out = telephony.decode_column(df.where("media IS NOT NULL"), "media", "wav", to=8000).first()
+    assert np.frombuffer(out.pcm, "<i2").tolist() == telephony.expand(b"\x00\x7f\xff\x80", "mulaw").tolist()
+    assert telephony.decode_column(df, "media", "alaw").where("media IS NULL").first().pcm == b""
+
+
+# 5
+
+
+def measured(text):
+    text = text or ""
+    words = WORD.findall(text)
+    n = len(words)
+    windows = [tuple(words[k : k + 3]) for k in range(n - 2)]
+    times = Counter(windows)
+    hit = {k + j for k, w in enumerate(windows) if times[w] > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    out = [n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)]
+    shares = {}
+    for size in range(5, 11):
+        grams = [tuple(words[k : k + size]) for k in range(n - size + 1)]
+        times = Counter(grams)
+        cover = {k + j for k, w in enumerate(grams) if times[w] > 1 for j in range(size)}
+        shares[f"share_{size}"] = sum(len(words[k]) for k in cover) / max(out[1], 1)
+    return out, shares
+
+
+def test_repetition(spark, folder):
+    data = table(folder)
+    rows = {(r[0], tuple(r[1:6])): r for r in got(spark, "op5_repetition", folder)}
+    for i, text in data:
+        base, shares = measured(text)
+        r = rows[i, tuple(base)]
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        assert r[-2] == failed and not (failed and r[-1])
+        m = repetition.measure(text or "")
+        for name, share in shares.items():
+            assert m[name] == pytest.approx(share)
+
+
+# 1
+
+
+def spans(text):
+    text, out = text or "", []
+    for m in re.finditer(secrets.ASSIGN, text):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    for k, pattern, least in ((1, r"AKIA[A-Z0-9]+", 20), (2, r"[0-9a-f]+", 24)):
+        out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    base = sorted(out)
+
+    def bits(x):
+        best = -1
+        for k in range(len(x) - 19):
+            c = Counter(x[k : k + 20])
+            best = max(best, -sum(v / 20 * math.log2(v / 20) for v in c.values()))
+        return best
+
+    more = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        x = m[0]
+        limit = secrets.HEX_BITS if re.search("^([0-9a-f]+|[0-9A-F]+)$", x) else secrets.BASE64_BITS
+        if not any(re.search(p, x) for p in secrets.ALLOW) and re.search("[0-9]", x) and re.search("[A-Za-z]", x) and bits(x) >= limit and not any(a < m.end() and m.start() < e for a, _, e in base):
+            more.append((m.start(), 3, m.end()))
+    listed = lambda s: ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in s)
+    n = Counter(k for _, k, _ in base)
+    return n[0], n[1], n[2], hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + more))
+
+
+def test_secrets(spark, folder):
+    want = [(i, *spans(t)) for i, t in table(folder)]
+    assert key(got(spark, "op1_secrets", folder)) == key(want)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT doc_id, text FROM '{folder}/documents.parquet{'/*.parquet' if 'sf' not in folder else ''}'")
+    assert key(con.execute(secrets.ORACLE_SQL["op1_secrets"]).fetchall()) == key(want)
+
+
+def test_redaction(spark, rows):
+    df = spark.createDataFrame([(1, 'x password = "abc123XYZ" y'), (2, None), (3, "Zx9Qw3Lk8Vb2Nm7Tr5Yp4Hd6!"), (4, "é token: deadbeefdeadbeefdeadbeefdead. é"), (5, "f81d4fae-7dec-11d0-a765-00a0c91e6bf6 see docs/guide-2020/page-one-two")], "doc_id long, text string")
+    assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ['x [SECRET]" y', None, "[SECRET]!", "é [SECRET] é", "f81d4fae-7dec-11d0-a765-00a0c91e6bf6 see docs/guide-2020/page-one-two"]
+
+
+def test_long_candidates_are_seen_whole(spark):
+    rnd = np.random.default_rng(1)
+    tail = "".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20))
+    for lead in (0, 195, 199, 200, 205, 1000):
+        df = spark.createDataFrame([(1, "a1" * (lead // 2) + tail)], "doc_id long, text string")
+        assert secrets.scanned(df).first().found["all"], lead
+
+
+# 3
+
+
+def test_sharding(spark, folder):
+    rows = registry.queries()["op3_virtual_slots"](spark, folder).collect()
+    data = table(folder)
+    assert key((r.doc_id, r.size, r.text_crc32) for r in rows) == key((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in data)
+    loads, slots = Counter(), defaultdict(list)
+    for r in rows:
+        assert 0 <= r.shard < 16 and r.law == "bytes" and r.grown_shard is None
+        loads[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean = sum(loads.values()) / 16
+    if len(data) > 100:
+        assert all(abs(n - mean) < 0.02 * mean for n in loads.values())
+
+
+def test_rebalancing_edits_the_map(spark, tmp_path):
+    loads = spark.range(64).selectExpr("CAST(id AS INT) AS virtual_slot", "CAST(1 AS LONG) AS n_rows", "CAST(100 AS LONG) AS n_bytes")
+    first = sharding.first_map(spark, 64, 4)
+    one = sharding.rebalanced(first, loads, 4)
+    assert one.join(first.withColumnRenamed("shard", "old"), "virtual_slot").where("shard <> old").count() == 0  # balanced: nothing moves
+    heavier = loads.selectExpr("virtual_slot", "n_rows", "CASE WHEN virtual_slot = 0 THEN 400 ELSE n_bytes END AS n_bytes")
+    sharding.save_map(one, str(tmp_path), 1)
+    two = sharding.rebalanced(sharding.load_map(spark, str(tmp_path), 1), heavier, 4).collect()
+    assert {r.version for r in two} == {2} and sum(r.shard != r.virtual_slot % 4 for r in two) <= 4
+    grown = sharding.rebalanced(one, loads, 5).groupBy("shard").count().collect()
+    assert len(grown) == 5
+
+
+# 6
+
+
+def test_lattice_scores(spark, sf):
+    data = table(sf)
+    train = Counter()
+    for i, text in data:
+        if zlib.crc32(str(i).encode()) % 10:
+            train.update([*WORD.findall(lowered(text)), None])
+    n, v = sum(train.values()), len(train)
+    counts = spark.createDataFrame([(b"" if w is None else w.encode(), c) for w, c in train.items()], "word binary, c long")
+    logp = lattice.fit(counts, BPE)
+    assert sum(math.exp(p) for p in logp.values()) == pytest.approx(1)
+    end = logp.pop(lattice.END)
+
+    def marginal(word):
+        b = b" " + word.encode()
+        alpha = [1.0]
+        for j in range(1, len(b) + 1):
+            alpha.append(sum(alpha[i] * math.exp(logp[b[i:j]]) for i in range(j) if b[i:j] in logp))
+        return math.log10(alpha[-1])
+
+    rows = {r[0]: r for r in got(spark, "op6_lattice", sf)}
+    known = {}
+    for i, text in data[:60]:
+        words = WORD.findall(lowered(text))
+        base = sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*words, None])
+        for w in words:
+            known.setdefault(w, marginal(w))
+        r = rows[i]
+        assert r[1:5] == (zlib.crc32(str(i).encode()) % 10 == 0, len(words) + 1, sum(train[w] > 0 for w in [*words, None]), n)
+        assert r[5] == pytest.approx(base, abs=1e-6) and r[6] == pytest.approx(sum(known[w] for w in words) + end / math.log(10), abs=1e-6)
+
+
+def test_more_rounds_fit_better(spark, sf):
+    data = [t or "" for _, t in table(sf)]
+    counts = Counter(w for t in data[:150] for w in lattice.words_of(t))
+    df = spark.createDataFrame([*((w, c) for w, c in counts.items()), (b"", 150)], "word binary, c long")
+    held = [w for t in data[150:] for w in lattice.words_of(t)]
+    total = []
+    for rounds in (1, 2, 3):
+        logp = lattice.fit(df, BPE, rounds)
+        logp.pop(lattice.END)
+        total.append(lattice.Lattice(logp).marginals(held).sum())
+    assert total[0] < total[1] < total[2] < 0
+
+
+def test_lattice_tricky(spark, odd):
+    rows = got(spark, "op6_lattice", odd)
+    assert len(rows) == len(table(odd)) and all(math.isfinite(r[5]) and math.isfinite(r[6]) and r[6] < 0 for r in rows)
+
+
+def test_rare_words_are_joined(spark, sf, monkeypatch):
+    want = {r[0]: r for r in got(spark, "op6_lattice", sf)}
+    monkeypatch.setattr(lattice, "TOP_WORDS", 10)
+    for r in got(spark, "op6_lattice", sf):
+        assert r[:5] == want[r[0]][:5] and r[5:] == pytest.approx(want[r[0]][5:])
+
+
+# 9
+
+
+def prints(text):
+    words = WORD.findall(lowered(text))
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark, folder):
+    data = table(folder)
+    fps = [prints(t) for _, t in data]
+    root = list(range(len(data)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(data)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 3:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    least = {}
+    for k, (i, _) in enumerate(data):
+        r = find(k)
+        if i is not None:
+            least[r] = min(least.get(r, i), i)
+    want = [(i, f"{fps[k]:016x}", least.get(find(k))) for k, (i, _) in enumerate(data)]
+    assert key(got(spark, "op9_simhash", folder)) == key(want)
+
+
+def united(codes, distance):
+    label = np.arange(len(codes))
+    a, b = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None]) <= distance, 1))
+    return simhash._united(label, a, b)
+
+
+@pytest.mark.parametrize("distance", [0, 1, 3, 7])
+def test_gray_index(distance):
+    rng = np.random.default_rng(distance)
+    for _ in range(12):
+        codes = rng.integers(0, 1 << 63, 6, dtype=np.uint64)[rng.integers(0, 6, 300)]
+        for _ in range(4):
+            codes = codes ^ ((np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) * (rng.random(300) < 0.7).astype(np.uint64))
+        codes = np.unique(codes)
+        index = simhash.GrayIndex(np.zeros(len(codes), np.int64), codes)
+        assert index.connected(distance).tolist() == united(index.codes, distance).tolist()
+
+
+@pytest.mark.parametrize("distance", [3, 7])
+def test_large_groups_are_split_exactly(spark, distance):
+    rng = np.random.default_rng(9)
+    codes = np.unique(rng.integers(0, 1 << 12, 500, dtype=np.uint64) * np.uint64(4097))
+    df = spark.createDataFrame([(simhash.signed(int(c)),) for c in codes], "fp long")
+    links = simhash.star_links(df, distance, group=40)
+    root = {r.node: r.root for r in simhash.components(links).collect()}
+    label = united(codes, distance)
+    groups = defaultdict(set)
+    for c, x in zip(codes.tolist(), label.tolist(), strict=True):
+        groups[x].add(c)
+    found = defaultdict(set)
+    for c in codes.tolist():
+        found[root.get(c, c)].add(c)
+    assert key(map(sorted, groups.values())) == key(map(sorted, found.values()))
+
+
+def test_components_of_a_chain(spark):
+    links = spark.range(1, 200).selectExpr("id AS a", "id + 1 AS b")
+    assert {r.root for r in simhash.components(links).collect()} == {1}
+
+
+# 8
+
+
+def test_suffixes(spark, folder):
+    data = [(i, (t or "").encode()) for i, t in table(folder)]
+    starts = Counter(b[k : k + 200] for _, b in data for k in range(len(b) - 199))
+    want = []
+    for i, b in data:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 199):
+            if starts[b[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        runs = len(re.findall(b"\1+", bytes(gone)))
+        want.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    assert key(got(spark, "op8_suffixes", folder)) == key(want)
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    assert key(map(tuple, suffixes.digest(df, wide=1).collect())) == key(want)  # every bucket spread
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(4)
+    for _ in range(8):
+        pool = [rng.integers(97, 97 + rng.integers(1, 4), 300).astype(np.uint8).tobytes() for _ in range(3)]
+        text = b"".join(pool[k] for k in rng.integers(0, 3, 5))
+        starts = np.arange(len(text) - 199)
+        order = sorted(text[k : k + 200] for k in starts)
+        first = {w: k for k, w in reversed(list(enumerate(order)))}
+        assert suffixes.suffix_ranks(np.frombuffer(text, np.uint8), starts).tolist() == [first[text[k : k + 200]] for k in starts]
+
+
+def test_cut_texts_are_valid(spark):
+    body = "äöü" * 150
+    df = spark.createDataFrame([(1, "x" + body + "q"), (2, "y" + body), (3, None)], "doc_id long, text string")
+    out = [r.text for r in suffixes.without_repeats(df).orderBy("doc_id").collect()]
+    assert out == ["xq", "y", None]
