@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
@@ -193,8 +194,9 @@ class Encoder:
     memories are bounded: beyond the bound they keep what the current block of texts uses.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, encode_pieces: Callable[[list[bytes]], list[list[int]]] | None = None):
         self.v = vocabulary
+        self.encode_pieces = encode_pieces or vocabulary.encode_pieces
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         self.pieces: dict[bytes, bytes] = {}
@@ -213,7 +215,7 @@ class Encoder:
         known = self.pieces
         used = set().union(*cuts)
         new = [p for p in used if p not in known]
-        for p, ids in zip(new, self.v.encode_pieces(new), strict=True):
+        for p, ids in zip(new, self.encode_pieces(new), strict=True):
             known[p] = struct.pack(f"<{len(ids)}I", *ids)
         out = [b"".join([known[p] for p in c]) for c in cuts]
         self.pieces = _bounded(known, used)

@@ -18,10 +18,12 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,14 @@ LEAST_CUT = 8
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
+@lru_cache(maxsize=2)
+def fast_encoder(path: str) -> bpe.Encoder:
+    """Whole-text encoder whose new pre-tokens are merged by the compiled library, one per worker."""
+    v = bpe.vocabulary(path)
+    single = tiktoken.Encoding("pieces", pat_str=bpe.PATTERN, mergeable_ranks=v.ids, special_tokens={})._core_bpe.encode_single_piece
+    return bpe.Encoder(v, lambda pieces: [single(p) for p in pieces])
+
+
 def pack(items: list[tuple[int, int, int]], limits: tuple[int, int, int]) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces ``(item, start, length)`` for items ``(item, tokens, loss-bearing tokens)``.
 
@@ -125,7 +135,7 @@ def pack_documents(df: DataFrame, path: str | None = None, tokens: int = MAX_TOK
     types = arrow_types(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.encoder(path)
+        enc = fast_encoder(path)
         end = END.to_bytes(4, "little")
         next_id = TaskContext.get().partitionId() << 40
         ids: list[tuple[int | None, bytes]] = []
