@@ -20,10 +20,11 @@ its own row; without any training document all counts are zero and base scores c
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from math import exp, log, log10
+from math import log, log10
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,12 +38,13 @@ from sparkloom.llm.common import documents, stored, text_or_empty
 FOLDS, ALPHA = 10, 0.1
 #: Words whose counts go to every task, none longer than TOP_LENGTH bytes: under 20 MB.
 TOP_WORDS, TOP_LENGTH = 200_000, 64
-ROUNDS = 1
+ROUNDS = 3
 SMOOTHING = 0.01
 #: Distinct words that a task holds before it passes on its partial counts, and remembered scores.
 HELD_WORDS, HELD_SCORES = 400_000, 400_000
 #: The end token in word tables; words are never empty.
 END = b""
+_FACTOR, _SLOT_BITS = 0x9E3779B97F4A7C15, 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -54,53 +56,120 @@ def held_out(doc_id: int | None) -> bool:
 
 
 class Lattice:
-    """Entries with log probabilities (natural), and recursions over a word's segmentations."""
+    """Entries with log probabilities (natural), and recursions over the segmentations of words.
+
+    Words of one length are taken together: for each entry length, the rolling hashes of all their
+    substrings are looked up in a table at once, and the recursions run over columns.
+    """
 
     def __init__(self, logp: dict[bytes, float]):
-        self.logp = logp
-        self.longest = max(map(len, logp), default=1)
+        self.entries = sorted(logp)
+        self.logp = np.array([logp[e] for e in self.entries])
+        self.longest = max(map(len, self.entries), default=1)
+        keys = np.zeros(len(self.entries), np.uint64)
+        for k, e in enumerate(self.entries):
+            h = 0
+            for c in e:
+                h = (h * _FACTOR + c + 1) & 0xFFFFFFFFFFFFFFFF
+            keys[k] = h
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two entries have the same hash")
+        # One slot by the hash's upper bits; what finds its slot taken goes to the sorted rest.
+        self.keys = np.append(keys, np.uint64(0))
+        slots = self._slot(keys)
+        _, first = np.unique(slots, return_index=True)
+        self.table = np.full(1 << _SLOT_BITS, len(keys), np.int32)
+        self.table[slots[first]] = first
+        taken = np.setdiff1d(np.arange(len(keys)), first)
+        self.crowded = np.zeros(1 << _SLOT_BITS, bool)
+        self.crowded[slots[taken]] = True
+        order = taken[np.argsort(keys[taken])]
+        self.rest, self.rest_keys = order, keys[order]
         self.known: dict[bytes, float] = {}
 
-    def forward(self, b: bytes) -> list[float]:
-        """Log of the summed probability of all segmentations of each prefix."""
-        get, longest = self.logp.get, self.longest
-        alpha = [0.0]
-        for j in range(1, len(b) + 1):
-            into = [alpha[i] + p for i in range(j - longest if j > longest else 0, j) if (p := get(b[i:j])) is not None]
-            if len(into) == 1:
-                alpha.append(into[0])
-            else:
-                top = max(into)
-                alpha.append(top + log(sum([exp(x - top) for x in into])))
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - _SLOT_BITS)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Number of the entry with each hash; the number of entries where there is none."""
+        slot = self._slot(h)
+        at = self.table[slot]
+        missed = self.keys[at] != h
+        at[missed] = len(self.entries)
+        again = np.flatnonzero(missed & self.crowded[slot])
+        if len(again):
+            k = np.minimum(np.searchsorted(self.rest_keys, h[again]), len(self.rest_keys) - 1)
+            hit = self.rest_keys[k] == h[again]
+            at[again[hit]] = self.rest[k[hit]]
+        return at
+
+    def _edges(self, data: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """By length: the entry at each start of each word (rows: starts, columns: words)."""
+        n = len(data)
+        found, h = [], np.zeros_like(data)
+        for size in range(1, min(n, self.longest) + 1):
+            h = h[: n - size + 1] * np.uint64(_FACTOR) + data[size - 1 :] + np.uint64(1)
+            at = self._find(h.ravel()).reshape(h.shape)
+            if (at < len(self.entries)).any():
+                found.append((size, at))
+        return found
+
+    def _forward(self, edges: list[tuple[int, np.ndarray]], n: int, words: int) -> np.ndarray:
+        """Log of the summed probability of all segmentations of each prefix (rows: prefix ends)."""
+        logp = np.append(self.logp, -np.inf)
+        alpha = np.zeros((n + 1, words))
+        for j in range(1, n + 1):
+            into = np.stack([alpha[j - size] + logp[at[j - size]] for size, at in edges if size <= j])
+            top = into.max(axis=0)
+            alpha[j] = top + np.log(np.exp(into - top).sum(axis=0))
         return alpha
 
-    def marginal(self, word: bytes) -> float:
-        """Log10 probability of a word, remembered for short ones."""
-        got = self.known.get(word)
-        if got is None:
-            got = self.forward(b" " + word)[-1] / log(10)
-            if len(word) <= TOP_LENGTH:
-                if len(self.known) >= HELD_SCORES:
-                    self.known.clear()
-                self.known[word] = got
-        return got
-
-    def expected(self, word: bytes, count: float, into: dict[bytes, float]) -> None:
-        """Add the expected uses of each entry in ``count`` occurrences of a word."""
-        b = b" " + word
-        alpha, n = self.forward(b), len(b)
-        get, longest = self.logp.get, self.longest
-        beta = [0.0] * (n + 1)
-        total = alpha[n]
-        for i in range(n - 1, -1, -1):
-            out = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = get(b[i:j])
-                if p is not None:
-                    out.append(p + beta[j])
-                    into[b[i:j]] += count * exp(alpha[i] + p + beta[j] - total)
-            top = max(out)
-            beta[i] = top + log(sum([exp(x - top) for x in out]))
+    def _blocks(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of words of one length, and their bytes with a space before them, in columns."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        cuts = np.flatnonzero(np.diff(sizes[order])) + 1
+        for group in np.split(order, cuts):
+            n = int(sizes[group[0]]) + 1 if len(group) else 0
+            step = max(1, 400_000 // max(n, 1))
+            for k in range(0, len(group), step):
+                part = group[k : k + step]
+                data = np.frombuffer(b"".join([b" " + words[i] for i in part]), np.uint8).reshape(len(part), n)
+                yield part, np.ascontiguousarray(data.T).astype(np.uint64)
+
+    def marginals(self, words: list[bytes]) -> np.ndarray:
+        """Log10 probability of each word: the sum over all its segmentations."""
+        out = np.zeros(len(words))
+        for part, data in self._blocks(words):
+            out[part] = self._forward(self._edges(data), len(data), data.shape[1])[-1] / log(10)
+        return out
+
+    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """Expected uses of each entry over all occurrences of the words: probabilities of passing
+        each place go down from the end, shared out among the entries that lead there."""
+        uses = np.zeros(len(self.entries) + 1)
+        logp = np.append(self.logp, -np.inf)
+        for part, data in self._blocks(words):
+            n, edges = len(data), self._edges(data)
+            alpha = self._forward(edges, n, data.shape[1])
+            passes = np.zeros_like(alpha)
+            passes[n] = counts[part]
+            for j in range(n, 0, -1):
+                for size, at in edges:
+                    if size <= j:
+                        entry = at[j - size]
+                        share = passes[j] * np.exp(alpha[j - size] + logp[entry] - alpha[j])
+                        passes[j - size] += share
+                        np.add.at(uses, entry, share)
+        return uses[:-1]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remember the probabilities of words; beyond the bound those in use now are kept."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > HELD_SCORES:
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        self.known.update(zip(new, self.marginals(new).tolist(), strict=True))
 
 
 def entries(path: str) -> list[bytes]:
@@ -148,14 +217,15 @@ def fit(counts: DataFrame, path: str, rounds: int = ROUNDS) -> dict[bytes, float
         sent = spark.sparkContext.broadcast(logp)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            lattice, into = Lattice(sent.value), defaultdict(float)
+            lattice = Lattice(sent.value)
+            uses, ends = np.zeros(len(lattice.entries)), 0
             for batch in batches:
-                for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if word == END:
-                        into[END] += c
-                    else:
-                        lattice.expected(word, c, into)
-            yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.binary()), pa.array(list(into.values()), pa.float64())], names=["entry", "uses"])
+                words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+                real = [k for k, w in enumerate(words) if w != END]
+                ends += int(c.sum() - c[real].sum())
+                uses += lattice.expected([words[k] for k in real], c[real].astype(np.float64))
+            some = np.flatnonzero(uses)
+            yield pa.RecordBatch.from_arrays([pa.array([*(lattice.entries[k] for k in some), END], pa.binary()), pa.array([*uses[some].tolist(), float(ends)], pa.float64())], names=["entry", "uses"])
 
         summed = counts.mapInArrow(run, "entry binary, uses double").groupBy("entry").agg(F.sum("uses").alias("uses")).collect()
         uses = {bytes(r.entry): r.uses for r in summed}
@@ -203,12 +273,14 @@ def score(df: DataFrame, path: str | None = None) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 made: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = words_of(text)
+                block = [words_of(text) for text in part.column(1).to_pylist()]
+                s.lattice.learn(list(set().union(*block)))
+                marginal = s.lattice.known
+                for doc, words in zip(part.column(0).to_pylist(), block, strict=True):
                     base = known = model = 0
                     rare: list[tuple[bytes, int]] = []
                     for w, k in Counter(words).items():
-                        model += k * s.lattice.marginal(w)
+                        model += k * marginal[w]
                         if (b := s.base.get(w)) is not None:
                             base, known = base + k * b, known + k
                         else:

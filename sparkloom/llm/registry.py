@@ -9,6 +9,7 @@ QUERIES = {
     "op1_secrets": "secrets",
     "op2_telephony": "telephony",
     "op3_virtual_slots": "sharding",
+    "op4_revisits": "revisits",
     "op5_repetition": "repetition",
     "op6_lattice": "lattice",
     "op7_packing": "packing",

@@ -40,4 +40,5 @@ def odd(spark, rows, tmp_path_factory):
 def empty(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string, ts long").write.parquet(f"{path}/pages.parquet")
     return str(path)
