@@ -362,7 +362,7 @@ def _verified(members: DataFrame, rows: DataFrame, similarity: float, shingle: i
 
     sets = map_arrow(texts, block, "t long, family long, mine int, blocks int, shingles binary", ["t", "family", "mine", "blocks", "text"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    meeting = sets.select("t", "family", "mine", other, "shingles").select("t", F.xxhash64("family", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "shingles").dropDuplicates(["task", "t"])
+    meeting = sets.select("t", "family", "mine", other, "shingles").select("t", F.xxhash64("family", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []

@@ -136,7 +136,6 @@ class CoverRanks:
         pad = 3 * DEPTH
         self.data = np.concatenate([data, np.zeros(pad + (-len(data)) % 3, np.uint8)])
         n = len(self.data) // 3
-        rows = self.data[: 3 * n].reshape(n, 3).astype(np.uint64)
         shift = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, len(x)), np.uint64)])
 
         def six(r: int) -> np.ndarray:
@@ -147,7 +146,6 @@ class CoverRanks:
                 out = (out << np.uint64(8)) | flat[np.minimum(at + k, len(flat) - 1)]
             return out
 
-        del rows
         ranks = _rank(np.concatenate([six(0), six(1)]))
         if len(ranks) >= 1 << 21:
             raise ValueError("too many bytes for one bucket")

@@ -484,3 +484,28 @@ def test_cut_texts_are_valid(spark):
     df = spark.createDataFrame([(1, "x" + body + "q"), (2, "y" + body), (3, None)], "doc_id long, text string")
     out = [r.text for r in suffixes.without_repeats(df).orderBy("doc_id").collect()]
     assert out == ["xq", "y", None]
+
+
+@pytest.mark.parametrize("block_bytes", [4_000_000, 1500])
+def test_near_duplicates_in_blocks(spark, block_bytes):
+    """A family over the bound is compared block by block with the same result."""
+    import random
+
+    rnd = random.Random(1)
+    base = [rnd.choice("abcdefghij") * rnd.randint(1, 6) + str(rnd.randint(0, 99)) for _ in range(120)]
+    rows = []
+    for k in range(30):
+        w = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            w[rnd.randint(0, 119)] = f"edit{rnd.randint(0, 9)}"
+        rows.append((k, " ".join(w)))
+    sets = [set(zip(*(t.split()[j:] for j in range(5)))) for _, t in rows]  # noqa: B905
+    root = list(range(30))
+    for _ in range(30):
+        for a in range(30):
+            for b in range(30):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one_of_near(df, distance=12, block_bytes=block_bytes)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
