@@ -321,8 +321,9 @@ def repeated_spans(rows: DataFrame, wide: int = WIDE) -> DataFrame:
     numbers first * 2^32 + end. Spans of a row are as many as its text allows at most."""
     found = stored(_all_runs(rows), "op8-runs")
     shared = found.groupBy("core").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1")
-    starts = F.shiftright("shape", 8)
-    members = stored(found.join(shared, "core").select("d", "t", "core", "whole", "first", starts.alias("starts"), (F.col("lo") == F.col("hi")).alias("settled")), "op8-members")
+    # Written, so that the join below deals both sides anew: a frequent core's rows can then be split.
+    shared = stored(shared.select("core", (F.col("lo") == F.col("hi")).alias("settled")), "op8-shared")
+    members = stored(found.join(shared, "core").select("d", "t", "core", "whole", "first", F.shiftright("shape", 8).alias("starts"), "settled"), "op8-members")
     open_ = members.where("NOT settled")
     distinct = open_.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "first", "starts")).alias("at"))
     distinct = stored(distinct.select("core", "whole", "n", "at.*"), "op8-distinct")
