@@ -208,6 +208,24 @@ def _counted(held: Counter[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
 
+def frequent(counts: DataFrame) -> dict[bytes, int]:
+    """Counts of at most ``TOP_WORDS`` words, the most frequent ones: all from a least class of counts
+    up. Classes are sixteenths of a power of two, so their sizes are few rows; sorting for a limit
+    instead would bring that many rows from every partition to the driver."""
+    short = counts.where(F.octet_length("word") <= TOP_LENGTH).withColumn("class", F.floor(F.log2("c") * 16).cast("int"))
+    sizes = sorted(((r["class"], r["count"]) for r in short.groupBy("class").count().collect()), reverse=True)
+    least, words = None, 0
+    for level, size in sizes:
+        words += size
+        if words > TOP_WORDS:
+            break
+        least = level
+    if least is None:
+        return {}
+    found = short.where(F.col("class") >= least).select("word", "c").toArrow()
+    return dict(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True))
+
+
 def fit(counts: DataFrame, path: str, rounds: int = ROUNDS) -> dict[bytes, float]:
     """Log probabilities of the entries after ``rounds`` of expectation maximisation on all counted
     words. Only sums by entry, at most as many as the vocabulary has, come to the driver."""
@@ -257,8 +275,7 @@ def score(df: DataFrame, path: str | None = None) -> DataFrame:
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
     counts = stored(word_counts(rows.where(~out)), "op6-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.octet_length("word") <= TOP_LENGTH).orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()
-    sent = spark.sparkContext.broadcast((fit(counts, path), {bytes(r.word): r.c for r in top}, n, v))
+    sent = spark.sparkContext.broadcast((fit(counts, path), frequent(counts), n, v))
     tag = zlib.crc32(repr((path, n, v, id(sent))).encode())
     names = ["row", "doc_id", "word", "cnt", "held_out", "n_tokens", "n_known", "base_score", "score"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
