@@ -38,6 +38,9 @@ FANOUT, SEARCHES = 8, 8192
 #: Entries of one block value that a task takes at most; groups beyond are split by further bits.
 GROUP = 20_000
 ROOM = 1_000_000
+#: One in so many texts tells which shingles are common: those that so many of them have. Texts of a
+#: shingle that meet in a task, at about.
+SAMPLE, COMMON, MEET = 16, 4, 2000
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -407,15 +410,163 @@ def _families(texts: DataFrame, prints: int, distance: int) -> DataFrame:
     return texts.select("t").join(whole.select(F.col("node").alias("t"), F.col("root").alias("family")), "t")
 
 
+def _prefix(h: np.ndarray, similarity: float, common: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The first elements of the set ``h`` (sorted, distinct) in the order of all sets: by ``count`` where
+    an element is in ``common``, then by value. Two sets that are alike share one of them."""
+    n = len(h)
+    size = n - int(np.ceil(similarity * n - 1e-6)) + 1
+    if n and len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = h[np.lexsort((h, np.where(common[at] == h, count[at], 0)))]
+    return h[:size] if n else h
+
+
+def _common_shingles(rows: DataFrame, shingle: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of one in ``sample`` texts have, sorted, and in how many of those. This
+    decides how much is compared, not what is found."""
+
+    def block(c: dict[str, list]) -> dict[str, list]:
+        sets = [np.unique(shingle_hashes(x, shingle)) for x in c["text"]]
+        return {"shingle": np.concatenate(sets).view(np.int64) if sets else []}
+
+    taken = rows.where(F.pmod(F.xxhash64("t", F.lit(11)), F.lit(sample)) == 0).dropDuplicates(["t"])
+    found = map_arrow(taken, block, "shingle long", ["text"]).groupBy("shingle").count().where(F.col("count") >= COMMON).toArrow()
+    values, count = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(values)
+    return values[order], count[order]
+
+
+def _alike_sizes(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of sizes ``a`` and ``b`` can be alike if these places hold the first element that they share."""
+    return 1 + np.minimum(a - at_a, b - at_b) - 1 >= similarity / (1 + similarity) * (a + b) - 1e-6
+
+
+def _near_pairs(rows: DataFrame, roots: DataFrame, similarity: float, shingle: int, sample: int = SAMPLE, meet: int = MEET) -> DataFrame:
+    """Pairs ``a, b`` of texts of different ``root`` (``roots``: ``t, root``) among which are all whose
+    shingle sets are at least so similar.
+
+    Each set has a prefix in one order of all shingles, rare ones first; similar sets share an element
+    of their prefixes. Pairs that sizes and places rule out are left out. Shingles of very many texts
+    are dealt into blocks of texts, each two of which meet in a task.
+    """
+    common, count = _common_shingles(rows, shingle, sample)
+    held = rows.sparkSession.sparkContext.broadcast((common, count))
+
+    def block(c: dict[str, list]) -> dict[str, list]:
+        sets = [np.unique(shingle_hashes(x, shingle)) for x in c["text"]]
+        return {"t": c["t"], "n": [len(h) for h in sets], "prefix": [_prefix(h, similarity, *held.value).tobytes() for h in sets]}
+
+    prefixes = map_arrow(rows, block, "t long, n int, prefix binary", ["t", "text"]).where("n > 0").dropDuplicates(["t"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, count = held.value
+        for batch in batches:
+            for first in range(0, batch.num_rows, 4096):
+                part = batch.slice(first, 4096)
+                t, n, root = (part.column(k).to_numpy() for k in range(3))
+                sets = [np.frombuffer(b, np.uint64) for b in part.column(3).to_pylist()]
+                size = np.array([len(x) for x in sets])
+                key, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+                blocks = np.ones(len(key), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+                    blocks = np.where(common[at] == key, -(-count[at] * sample // meet), 1)
+                mine = (rehashed(t.view(np.uint64), 1)[of] % blocks.astype(np.uint64)).astype(np.int64)
+                row = np.repeat(np.arange(len(key)), blocks)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                low, high = np.minimum(mine[row], other), np.maximum(mine[row], other)
+                task = np.where(blocks[row] > 1, rehashed(key[row] + rehashed((low << 32 | high).astype(np.uint64), 3), 2), key[row])
+                at = of[row]
+                yield pa.RecordBatch.from_arrays([pa.array(task.view(np.int64)), pa.array(t[at]), pa.array(root[at]), pa.array(n[at].astype(np.int32)), pa.array(place[row].astype(np.int32))], names=["task", "t", "root", "n", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[np.ndarray]] = []
+        size = 0
+
+        def flush(upto: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal kept, size
+            cols = [np.concatenate(x) for x in zip(*kept, strict=True)]
+            kept, size = [], 0
+            if upto:  # the last group may go on
+                done = int(np.searchsorted(cols[0], cols[0][-1]))
+                kept, size = [[c[done:] for c in cols]], len(cols[0]) - done
+                cols = [c[:done] for c in cols]
+            start = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+            mixed = np.minimum.reduceat(cols[2], start) != np.maximum.reduceat(cols[2], start)
+            here = np.repeat(mixed, np.diff(np.append(start, len(cols[0]))))
+            task, t, root, n, place = (c[here] for c in cols)
+            left, step = np.arange(len(task)), 0
+            found, many = [], 0
+            while True:
+                step += 1
+                left = left[left + step < len(task)]
+                left = left[task[left] == task[left + step]]
+                if not len(left):
+                    break
+                a, b = left, left + step
+                ok = (root[a] != root[b]) & _alike_sizes(n[a], n[b], place[a], place[b], similarity)
+                a, b = t[a[ok]], t[b[ok]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                many += len(a)
+                if many > ROOM:
+                    yield pairs_of(found)
+                    found, many = [], 0
+            if many:
+                yield pairs_of(found)
+
+        def pairs_of(found: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = np.concatenate(found, axis=1)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
+        for batch in batches:
+            kept.append([batch.column(k).to_numpy() for k in range(5)])
+            size += batch.num_rows
+            if size > ROOM and kept[-1][0][-1] != kept[0][0][0]:
+                yield from flush(True)
+        if size:
+            yield from flush(False)
+
+    spread_ = prefixes.join(roots, "t").select("t", "n", "root", "prefix").mapInArrow(spread, "task long, t long, root long, n int, place int")
+    return spread_.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The ``pairs`` (``a, b``) of texts whose shingle sets are at least so similar."""
+    wanted = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
+
+    def block(c: dict[str, list]) -> dict[str, list]:
+        return {"t": c["t"], "shingles": [np.unique(shingle_hashes(x, shingle)).tobytes() for x in c["text"]]}
+
+    texts = rows.select("t", "text").join(wanted.hint("shuffle_hash"), "t", "left_semi")
+    sets = stored(map_arrow(texts, block, "t long, shingles binary", ["t", "text"]).dropDuplicates(["t"]), "near-sets")
+    side = lambda k: sets.select(F.col("t").alias(k), F.col("shingles").alias(f"of_{k}"))
+
+    def alike(c: dict[str, list]) -> dict[str, list]:
+        like = []
+        for x, y in zip(c["of_a"], c["of_b"], strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            like.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+        return {"a": [a for a, ok in zip(c["a"], like, strict=True) if ok], "b": [b for b, ok in zip(c["b"], like, strict=True) if ok]}
+
+    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), alike, "a long, b long", ["a", "b", "of_a", "of_b"])
+
+
 def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, coarse: int = 2, distance: int = 7, prints: int = 3, block_bytes: int = 4_000_000) -> DataFrame:
     """``df`` (``doc_id``, ``text``, ...) with one row of each group of near-duplicates: the one of the
     least ``doc_id``. Two texts are linked if the sets of their ``shingle``-word shingles have a Jaccard
     similarity of at least ``similarity``; groups are what links connect, and equal texts.
 
-    Candidates are families connected by any of ``prints`` independent SimHash fingerprints of
-    ``coarse``-word shingles at ``distance``: a copy at a similarity of 0.8 on five words has about 6
-    bits in 64 changed (7 or less in five of six cases for each fingerprint), unrelated texts hardly
-    ever less than 12. Links are then decided on the shingle sets themselves.
+    A first pass takes families connected by any of ``prints`` independent SimHash fingerprints of
+    ``coarse``-word shingles at ``distance``: a copy with scattered edits of single words at a
+    similarity of 0.8 on five words has about 6 bits in 64 changed, unrelated texts hardly ever less
+    than 12. Copies that were cut, extended or changed in one block have more, so a second pass takes all
+    pairs of texts not connected yet that share a rare shingle (see ``_near_pairs``), which leaves out
+    no similar pair. Links are decided on the shingle sets themselves in both.
     Rows alike in ``doc_id`` and text stay together; a null ``doc_id`` comes last in its group.
     """
     d, t = F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.xxhash64(text_or_empty())
@@ -430,8 +581,11 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     printed = stored(map_arrow(rows, block, schema, ["d", "t", "text"]), "near-prints")
     texts = stored(printed.groupBy("t").agg(F.min("d").alias("d"), F.max("size").alias("size"), *(F.min(n).alias(n) for n in names)), "near-texts")
     members = stored(texts.select("t", "d", "size").join(_families(texts, prints, distance), "t"), "near-members")
-    roots = components(_verified(members, rows, similarity, shingle, block_bytes), "near").withColumnRenamed("node", "t")
-    placed = texts.join(roots, "t", "left").select("t", "d", F.coalesce("root", "t").alias("root"))
+    links = components(_verified(members, rows, similarity, shingle, block_bytes), "near")
+    placed = lambda found: texts.join(found.withColumnRenamed("node", "t"), "t", "left").select("t", "d", F.coalesce("root", "t").alias("root"))
+    pairs = stored(_near_pairs(rows, placed(links).select("t", "root"), similarity, shingle), "near-pairs")
+    links = links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(pairs, rows, similarity, shingle))
+    placed = placed(components(links, "near"))
     first = placed.groupBy("root").agg(F.min(F.struct("d", "t")).alias("kept")).select("kept.d", "kept.t")
     named = df.withColumns({"__d": d, "__t": t})
     return named.join(first.select(F.col("d").alias("__d"), F.col("t").alias("__t")), ["__d", "__t"], "left_semi").select(*df.columns)

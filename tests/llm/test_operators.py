@@ -509,3 +509,47 @@ def test_near_duplicates_in_blocks(spark, block_bytes):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = simhash.keep_one_of_near(df, distance=12, block_bytes=block_bytes)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
+def block_copies():
+    """Texts of 100 to 400 words and copies that are cut, extended or changed in one block, at 0.80 to 0.92."""
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: rnd.choice("abcdefghijklm") * rnd.randint(1, 4) + str(rnd.randint(0, 999))
+    texts = []
+    for _ in range(60):
+        n = rnd.randint(100, 400)
+        base = [word() for _ in range(n)]
+        k = rnd.randint(n // 12, n // 5)
+        texts += [base, base[: n - k], base[k:], base + [word() for _ in range(k)], base[: n // 2] + [word() for _ in range(k // 2)] + base[n // 2 + k // 2 :]]
+    return [(k, " ".join(w)) for k, w in enumerate(texts)]
+
+
+def similar_pairs(rows):
+    sets = [set(zip(*(t.split()[j:] for j in range(5)))) for _, t in rows]  # noqa: B905
+    return {(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def test_near_duplicates_of_changed_blocks(spark):
+    """Copies that differ in one block have more SimHash bits changed than the first pass takes."""
+    rows = block_copies()
+    root = list(range(len(rows)))
+    pairs = similar_pairs(rows)
+    for _ in range(6):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    kept = simhash.keep_one_of_near(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
+@pytest.mark.parametrize("meet", [2000, 3])
+def test_near_pairs_leave_out_none(spark, meet):
+    """Also where all texts share shingles that are common, and those are dealt into blocks."""
+    line = " a line that very many of the texts have in them"
+    rows = [(k, t + line) for k, t in block_copies()[:150]]
+    df = spark.createDataFrame([(k, k, t) for k, t in rows], "d long, t long, text string")
+    found = simhash._near_pairs(df, df.selectExpr("t", "t AS root"), 0.8, 5, sample=1, meet=meet)
+    assert similar_pairs(rows) <= {(r.a, r.b) for r in found.collect()}
+    similar = simhash._similar(found, df, 0.8, 5)
+    assert {(r.a, r.b) for r in similar.collect()} == similar_pairs(rows)
