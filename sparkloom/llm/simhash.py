@@ -567,7 +567,7 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     than 12. Copies that were cut, extended or changed in one block have more, so a second pass takes all
     pairs of texts not connected yet that share a rare shingle (see ``_near_pairs``), which leaves out
     no similar pair. Links are decided on the shingle sets themselves in both.
-    Rows alike in ``doc_id`` and text stay together; a null ``doc_id`` comes last in its group.
+    Of rows alike in ``doc_id`` and text any one stays; a null ``doc_id`` comes last in its group.
     """
     d, t = F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.xxhash64(text_or_empty())
     rows = df.select(d.alias("d"), t.alias("t"), text_or_empty().alias("text"))
@@ -588,7 +588,7 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     placed = placed(components(links, "near"))
     first = placed.groupBy("root").agg(F.min(F.struct("d", "t")).alias("kept")).select("kept.d", "kept.t")
     named = df.withColumns({"__d": d, "__t": t})
-    return named.join(first.select(F.col("d").alias("__d"), F.col("t").alias("__t")), ["__d", "__t"], "left_semi").select(*df.columns)
+    return named.join(first.select(F.col("d").alias("__d"), F.col("t").alias("__t")), ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"]).select(*df.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -553,3 +553,12 @@ def test_near_pairs_leave_out_none(spark, meet):
     assert similar_pairs(rows) <= {(r.a, r.b) for r in found.collect()}
     similar = simhash._similar(found, df, 0.8, 5)
     assert {(r.a, r.b) for r in similar.collect()} == similar_pairs(rows)
+
+
+def test_near_duplicates_keep_one_of_equal_rows(spark):
+    """Copies without ids and repeated rows of one id are one row as well."""
+    text = "one two three four five six seven"
+    rows = [(None, text, 1), (None, text, 2), (None, text, 3), (5, "other " * 9, 4), (5, "other " * 9, None), (None, None, 5), (None, "", 6)]
+    kept = simhash.keep_one_of_near(spark.createDataFrame(rows, "doc_id long, text string, extra int")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, text), (5, "other " * 9)]
+    assert all(tuple(r) in rows for r in kept)
