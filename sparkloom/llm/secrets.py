@@ -103,10 +103,27 @@ def _random(candidate: Column) -> Column:
     return ~allowed & F.rlike(candidate, F.lit("[0-9]")) & F.rlike(candidate, F.lit("[A-Za-z]")) & (window_bits(candidate) >= limit)
 
 
-def scanned(df: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
-    """``df`` with ``out``: struct of ``base`` and ``all``, arrays of (start, ord, end) in order."""
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of the spans (in order, maybe overlapping)."""
+    walked = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s.end).alias("at"),
+            F.when(s.end > acc["at"], F.concat(acc.out, F.array(F.substring(text, acc["at"] + 1, F.greatest(s.start - acc["at"], F.lit(0))), F.repeat(F.lit(" "), s.end - F.greatest(acc["at"], s.start))))).otherwise(acc.out).alias("out"),
+        ),
+        lambda acc: F.array_join(F.concat(acc.out, F.array(F.substring(text, acc["at"] + 1, F.length(text)))), ""),
+    )
+    return F.when(F.size(spans) > 0, walked).otherwise(text)
+
+
+def scanned(df: DataFrame, text: str = "text", out: str = "found", cut: bool = False) -> DataFrame:
+    """``df`` with ``out``: struct of ``base`` and ``all``, arrays of (start, ord, end) in order. With
+    ``cut``, a candidate that touches a base span is not suppressed: what is left of it is examined."""
     t = text_or_empty(text)
     base = F.array_sort(F.concat(_spans(t, ASSIGN, "assign", lambda w, g: F.length(g) >= 6), _spans(t, ACCESS, "access", lambda w, g: F.length(w) >= 20), _spans(t, HEX, "hex", lambda w, g: F.lit(True))))
+    if cut:
+        return _scanned_apart(df, t, base, out)
     more = _spans(t, CANDIDATE, "entropy", lambda w, g: _random(w))
     # The columns of one step are computed once for the next one.
     step = df.withColumn(out, F.struct(base.alias("base"), more.alias("more")))
@@ -114,6 +131,13 @@ def scanned(df: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
     return step.withColumn(out, F.struct(F.col(out).base.alias("base"), F.when(F.size(F.col(out).more) > 0, F.array_sort(F.concat(F.col(out).base, fresh))).otherwise(F.col(out).base).alias("all")))
 
 
+def _scanned_apart(df: DataFrame, t: Column, base: Column, out: str) -> DataFrame:
+    step = df.withColumn(out, base)
+    step = step.withColumn(out, F.struct(F.col(out).alias("base"), _blanked(t, F.col(out)).alias("rest")))
+    step = step.withColumn(out, F.struct(F.col(out).base.alias("base"), _spans(F.col(out).rest, CANDIDATE, "entropy", lambda w, g: _random(w)).alias("more")))
+    return step.withColumn(out, F.struct(F.col(out).base.alias("base"), F.array_sort(F.concat(F.col(out).base, F.col(out).more)).alias("all")))
+
+
 def _listed(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s.ord], s.start.cast("string"), s.end.cast("string"))), ",")
@@ -121,7 +145,8 @@ def _listed(spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with each secret in ``text`` replaced by ``REDACTED``; overlapping spans are replaced
-    as one. Other columns, names and order stay; a null text stays null."""
+    as one. Other columns, names and order stay; a null text stays null. What a candidate has besides a
+    span of another kind is examined too, unlike in the query, whose SQL suppresses all of it."""
     found = "__found"
     t = F.col(text)
     walked = F.aggregate(
@@ -133,7 +158,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         ),
         lambda acc: F.array_join(F.concat(acc.out, F.array(F.substring(t, acc["at"] + 1, F.length(t)))), ""),
     )
-    return scanned(df, text, found).withColumn(text, F.when(F.size(F.col(found).all) > 0, walked).otherwise(t)).drop(found)
+    return scanned(df, text, found, cut=True).withColumn(text, F.when(F.size(F.col(found).all) > 0, walked).otherwise(t)).drop(found)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
