@@ -21,12 +21,15 @@ from sparkloom.llm.common import documents, map_arrow, text_or_empty
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Largest share of characters in repeated windows, all occurrences counted, by words in a window. The
-#: limits of published filters for long web pages (0.15 to 0.10) would reject a short text for one line
-#: that it has twice; these let a text repeat a sixth of itself once.
+#: Largest share of characters in repeated windows, all occurrences counted, by words in a window, for
+#: texts of at most ``SHORT_WORDS``. The limits of published filters for long web pages (``LONG_LIMITS``)
+#: would reject a short text for one line that it has twice; these let a text repeat a sixth of itself once.
 NGRAM_LIMITS = {5: 0.40, 6: 0.38, 7: 0.36, 8: 0.34, 9: 0.32, 10: 0.30}
-#: Largest share of characters in lines that came before.
+#: Largest share of characters in lines that came before, for the same texts.
 LINE_LIMIT = 0.25
+#: What longer texts may repeat stays as much as a text of ``SHORT_WORDS`` may, until its share is these.
+SHORT_WORDS = 300
+LONG_LIMITS, LONG_LINE_LIMIT = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}, 0.20
 #: Signs per word.
 SYMBOL_LIMIT = 0.10
 LEAST_WORDS = 50
@@ -107,7 +110,9 @@ def judged(m: dict[str, float]) -> tuple[bool, bool]:
     """Whether the base rule fails, and whether the document is kept."""
     n = m["n_words"]
     base = n < LEAST_WORDS or 100 * m["n_repeat_words"] > 50 * n
-    bad = m["line_share"] > LINE_LIMIT or m["n_symbols"] > SYMBOL_LIMIT * n or any(m[f"share_{k}"] > limit for k, limit in NGRAM_LIMITS.items())
+    part = min(1.0, SHORT_WORDS / max(n, 1))
+    lines = max(LONG_LINE_LIMIT, LINE_LIMIT * part)
+    bad = m["line_share"] > lines or m["n_symbols"] > SYMBOL_LIMIT * n or any(m[f"share_{k}"] > max(LONG_LIMITS[k], limit * part) for k, limit in NGRAM_LIMITS.items())
     return base, not (base or bad)
 
 

@@ -572,3 +572,12 @@ def test_redaction_of_the_rest_of_a_candidate(spark):
     out = [r.text for r in secrets.redact(df).orderBy("doc_id").collect()]
     assert not any(secret[k : k + 8] in t for t in out for k in range(len(secret) - 7))
     assert out[0].endswith(" end") and out[1].startswith("é ") and out[1].endswith(".") and out[2] == "[SECRET]/docs/some-more-words/here"
+
+
+def test_repetition_limits_of_long_texts():
+    """A short text may have a sixth of itself twice; a long page with a third under repeats is rejected."""
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    page = lambda n: words(1000, 1000 + n) + " " + words(1000, 1000 + n // 6)
+    kept = [repetition.judged(repetition.measure(page(n)))[1] for n in (120, 240, 3000)]
+    assert kept == [True, True, False]
+    assert repetition.judged(repetition.measure(words(1000, 4000) + " " + words(1000, 1100)))[1]
