@@ -26,6 +26,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe
 from sparkloom.llm.bpe_codec import BYTE_BPE
@@ -128,9 +129,12 @@ def pack(items: list[tuple[int, int, int]], limits: tuple[int, int, int]) -> lis
     return out
 
 
-def pack_documents(df: DataFrame, path: str | None = None, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_TOKENS) -> DataFrame:
+def pack_documents(df: DataFrame, path: str | None = None, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_TOKENS, bearing: str | None = None) -> DataFrame:
     """Pieces of all rows of ``df`` (``doc_id``, ``text``), see ``PIECES``. In plain documents every
-    token bears loss; ``sequence_id`` is unique over all tasks, ``offset`` is the place in it."""
+    token bears loss; ``sequence_id`` is unique over all tasks, ``offset`` is the place in it.
+
+    ``bearing`` names a column with how many of a row's last tokens bear loss, the end token included
+    (an answer after its prompt); null means all, and counts are taken between none and all."""
     path = path or public_tokenizers.path(BYTE_BPE)
     types = arrow_types(PIECES)
 
@@ -138,17 +142,18 @@ def pack_documents(df: DataFrame, path: str | None = None, tokens: int = MAX_TOK
         enc = fast_encoder(path)
         end = END.to_bytes(4, "little")
         next_id = TaskContext.get().partitionId() << 40
-        ids: list[tuple[int | None, bytes]] = []
+        ids: list[tuple[int | None, bytes, int]] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal next_id, ids, held
             rows = []
-            for sequence in pack([(i, len(b) // 4, len(b) // 4) for i, (_, b) in enumerate(ids)], (tokens, segments, loss)):
+            for sequence in pack([(i, len(b) // 4, bears) for i, (_, b, bears) in enumerate(ids)], (tokens, segments, loss)):
                 offset = 0
                 for item, start, size in sequence:
-                    doc, b = ids[item]
-                    rows.append((doc, start, size, zlib.crc32(b[4 * start : 4 * (start + size)]), len(b) // 4, next_id, offset, size))
+                    doc, b, bears = ids[item]
+                    used = min(size, max(0, start + size - (len(b) // 4 - bears)))
+                    rows.append((doc, start, size, zlib.crc32(b[4 * start : 4 * (start + size)]), len(b) // 4, next_id, offset, used))
                     offset += size
                 next_id += 1
             ids, held = [], 0
@@ -158,15 +163,17 @@ def pack_documents(df: DataFrame, path: str | None = None, tokens: int = MAX_TOK
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                for doc, b in zip(part.column(0).to_pylist(), enc.encode_many(part.column(1).to_pylist()), strict=True):
-                    ids.append((doc, b + end))
+                bears = part.column(2).to_pylist() if bearing else [None] * part.num_rows
+                for doc, b, last in zip(part.column(0).to_pylist(), enc.encode_many(part.column(1).to_pylist()), bears, strict=True):
+                    n = len(b) // 4 + 1
+                    ids.append((doc, b + end, n if last is None else min(max(last, 0), n)))
                     held += len(b) // 4 + 1
                 if held > BLOCK_TOKENS:
                     yield from flush()
         if ids:
             yield from flush()
 
-    return df.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, PIECES)
+    return df.select("doc_id", text_or_empty().alias("text"), *([F.col(bearing).cast("long").alias("bearing")] if bearing else [])).mapInArrow(run, PIECES)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

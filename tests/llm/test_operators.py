@@ -581,3 +581,32 @@ def test_repetition_limits_of_long_texts():
     kept = [repetition.judged(repetition.measure(page(n)))[1] for n in (120, 240, 3000)]
     assert kept == [True, True, False]
     assert repetition.judged(repetition.measure(words(1000, 4000) + " " + words(1000, 1100)))[1]
+
+
+def test_packing_of_conversations(spark, sf):
+    """Sequences keep to a limit of loss-bearing tokens below that of tokens; each row has its own count."""
+    import public_tokenizers
+
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("text IS NOT NULL").groupBy("conv_id").agg(F.expr("array_sort(collect_list(struct(turn, role, text)))").alias("turns")).collect()
+    enc = packing.fast_encoder(public_tokenizers.path(packing.BYTE_BPE))
+    size = lambda t: len(enc.encode_many([t])[0]) // 4
+    rows, want = [], {}
+    for k, r in enumerate(turns):
+        text = "\n".join(t.text for t in r.turns)
+        n = size(text) + 1
+        bears = [size(r.turns[-1].text), None, 0, 10**6][min(k, 3) if k < 4 else 0]
+        rows.append((k, text, bears))
+        want[k] = (n, n if bears is None else min(bears, n))
+    df = spark.createDataFrame(rows, "doc_id long, text string, answer long")
+    sequences, pieces = defaultdict(list), defaultdict(list)
+    for p in packing.pack_documents(df, loss=256, bearing="answer").collect():
+        sequences[p.sequence_id].append(p)
+        pieces[p.doc_id].append((p.start, p.length, p.loss_tokens))
+    for s in sequences.values():
+        assert sum(p.length for p in s) <= packing.MAX_TOKENS and len(s) <= packing.MAX_SEGMENTS and sum(p.loss_tokens for p in s) <= 256
+    for k, (n, bears) in want.items():
+        at = 0
+        for start, length, used in sorted(pieces[k]):
+            assert start == at and used == min(length, max(0, start + length - (n - bears)))
+            at += length
+        assert at == n and sum(u for _, _, u in pieces[k]) == bears
