@@ -262,11 +262,12 @@ def star_links(entries: DataFrame, distance: int = DISTANCE, group: int = GROUP)
     return keys.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, name: str = "op9", rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, name: str = "op9", rounds: int | None = None) -> DataFrame:
     """``node, root`` of every node in ``links`` (``a, b``), root the least node of its component.
 
     Alternating large-star and small-star steps: each hangs a node's neighbours on the least one.
-    Minima are partial sums; nodes with very many neighbours are only ever joined, not gathered.
+    Minima are partial sums; nodes with very many neighbours are only ever joined, not gathered. Steps
+    go on until one changes nothing; more than ``rounds``, where given, are an error.
     """
 
     def hung(pairs: DataFrame) -> DataFrame:
@@ -275,9 +276,11 @@ def components(links: DataFrame, name: str = "op9", rounds: int = 40) -> DataFra
 
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-links")
     state = _state(edges)
-    for _ in range(rounds):
-        if not state[0]:
-            break
+    done = 0
+    while state[0]:
+        if done == rounds:
+            raise RuntimeError(f"links are not settled after {rounds} rounds")
+        done += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = hung(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))

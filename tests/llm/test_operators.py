@@ -610,3 +610,9 @@ def test_packing_of_conversations(spark, sf):
             assert start == at and used == min(length, max(0, start + length - (n - bears)))
             at += length
         assert at == n and sum(u for _, _, u in pieces[k]) == bears
+
+
+def test_unsettled_components_are_an_error(spark):
+    links = spark.range(1, 200).selectExpr("id AS a", "id + 1 AS b")
+    with pytest.raises(RuntimeError, match="not settled"):
+        simhash.components(links, rounds=1)
