@@ -444,22 +444,34 @@ def _alike_sizes(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarra
     return 1 + np.minimum(a - at_a, b - at_b) - 1 >= similarity / (1 + similarity) * (a + b) - 1e-6
 
 
+def _part(h: np.ndarray) -> np.ndarray:
+    """16 bits of each element of a set that is in the lowest quarter of all values."""
+    return (h[h < np.uint64(1 << 62)] >> np.uint64(46)).astype(np.uint16)
+
+
+def _parts_allow(x: np.ndarray, y: np.ndarray, sizes: int, similarity: float) -> bool:
+    """Whether sets of so many elements together can be alike if these are their parts: what differs
+    there differs in all. Values that meet by chance only let more pairs pass."""
+    return len(x) + len(y) - 2 * min(np.isin(x, y).sum(), np.isin(y, x).sum()) <= (1 - similarity) / (1 + similarity) * sizes + 1e-6
+
+
 def _near_pairs(rows: DataFrame, roots: DataFrame, similarity: float, shingle: int, sample: int = SAMPLE, meet: int = MEET) -> DataFrame:
     """Pairs ``a, b`` of texts of different ``root`` (``roots``: ``t, root``) among which are all whose
     shingle sets are at least so similar.
 
     Each set has a prefix in one order of all shingles, rare ones first; similar sets share an element
     of their prefixes. Pairs that sizes and places rule out are left out. Shingles of very many texts
-    are dealt into blocks of texts, each two of which meet in a task.
+    are dealt into blocks of texts, each two of which meet in a task. At last a quarter of both sets is
+    compared, in 16 bits an element, which rules out nearly all texts that have only a passage in common.
     """
     common, count = _common_shingles(rows, shingle, sample)
     held = rows.sparkSession.sparkContext.broadcast((common, count))
 
     def block(c: dict[str, list]) -> dict[str, list]:
         sets = [np.unique(shingle_hashes(x, shingle)) for x in c["text"]]
-        return {"t": c["t"], "n": [len(h) for h in sets], "prefix": [_prefix(h, similarity, *held.value).tobytes() for h in sets]}
+        return {"t": c["t"], "n": [len(h) for h in sets], "prefix": [_prefix(h, similarity, *held.value).tobytes() for h in sets], "part": [_part(h).tobytes() for h in sets]}
 
-    prefixes = map_arrow(rows, block, "t long, n int, prefix binary", ["t", "text"]).where("n > 0").dropDuplicates(["t"])
+    prefixes = stored(map_arrow(rows, block, "t long, n int, prefix binary, part binary", ["t", "text"]).where("n > 0").dropDuplicates(["t"]), "near-prefixes")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, count = held.value
@@ -534,7 +546,14 @@ def _near_pairs(rows: DataFrame, roots: DataFrame, similarity: float, shingle: i
             yield from flush(False)
 
     spread_ = prefixes.join(roots, "t").select("t", "n", "root", "prefix").mapInArrow(spread, "task long, t long, root long, n int, place int")
-    return spread_.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+    met = stored(spread_.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct(), "near-met")
+    side = lambda k: prefixes.select(F.col("t").alias(k), F.col("n").alias(f"n_{k}"), F.col("part").alias(f"of_{k}"))
+
+    def allowed(c: dict[str, list]) -> dict[str, list]:
+        ok = [_parts_allow(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, similarity) for x, y, n in zip(c["of_a"], c["of_b"], c["n"], strict=True)]
+        return {k: [v for v, good in zip(c[k], ok, strict=True) if good] for k in ("a", "b")}
+
+    return map_arrow(met.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.col("n_a") + F.col("n_b")), allowed, "a long, b long", ["a", "b", "n", "of_a", "of_b"])
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -544,7 +563,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int)
     def block(c: dict[str, list]) -> dict[str, list]:
         return {"t": c["t"], "shingles": [np.unique(shingle_hashes(x, shingle)).tobytes() for x in c["text"]]}
 
-    texts = rows.select("t", "text").join(wanted.hint("shuffle_hash"), "t", "left_semi")
+    texts = rows.select("t", "text").join(wanted, "t", "left_semi")
     sets = stored(map_arrow(texts, block, "t long, shingles binary", ["t", "text"]).dropDuplicates(["t"]), "near-sets")
     side = lambda k: sets.select(F.col("t").alias(k), F.col("shingles").alias(f"of_{k}"))
 

@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow.dataset as ds
 import pytest
 import xxhash
+from pyspark.sql.functions import expr
 from tokenizers import Tokenizer
 
 from sparkloom.llm import bpe, bpe_codec, lattice, packing, registry, repetition, secrets, sharding, simhash, suffixes, telephony
@@ -585,9 +586,7 @@ def test_repetition_limits_of_long_texts():
 
 def test_packing_of_conversations(spark, sf):
     """Sequences keep to a limit of loss-bearing tokens below that of tokens; each row has its own count."""
-    import public_tokenizers
-
-    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("text IS NOT NULL").groupBy("conv_id").agg(F.expr("array_sort(collect_list(struct(turn, role, text)))").alias("turns")).collect()
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("text IS NOT NULL").groupBy("conv_id").agg(expr("array_sort(collect_list(struct(turn, role, text)))").alias("turns")).collect()
     enc = packing.fast_encoder(public_tokenizers.path(packing.BYTE_BPE))
     size = lambda t: len(enc.encode_many([t])[0]) // 4
     rows, want = [], {}
