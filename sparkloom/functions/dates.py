@@ -27,6 +27,16 @@ def add_time(c: Column, hours: int = 0, minutes: int = 0, seconds: float = 0) ->
     return c + F.make_dt_interval(F.lit(0), F.lit(hours), F.lit(minutes), F.lit(float(seconds)).cast("decimal(18,6)"))
 
 
+def add_milliseconds(c: Column, n: int) -> Column:
+    return c + F.make_dt_interval(secs=(F.lit(n).cast("decimal(18,6)") / 1000).cast("decimal(18,6)"))
+
+
+def add_parts(c: Column, years: int = 0, months: int = 0, days: int = 0, hours: int = 0, minutes: int = 0, seconds: float = 0) -> Column:
+    """A timestamp moved by all six parts, the largest first; the time of day stays while dates move."""
+    moved = c + F.make_ym_interval(F.lit(years)) + F.make_ym_interval(F.lit(0), F.lit(months)) + F.make_dt_interval(F.lit(days))
+    return add_time(moved, hours, minutes, seconds)
+
+
 def add_date(c: Column, years: int = 0, months: int = 0, days: int = 0) -> Column:
     return F.date_add(F.add_months(F.add_months(c, 12 * years), months), days)
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.operators.joins import size_of
+from sparkloom.sources.shared import stored
+
 
 def lookup(df: DataFrame, **key) -> DataFrame:
     """Rows with the given key values; comparisons reach the Parquet reader as pushed filters."""
@@ -23,7 +26,8 @@ def range_from(df: DataFrame, column: str, low, high=None) -> DataFrame:
 
 def members(df: DataFrame, column: str, probe: DataFrame, probe_column: str) -> DataFrame:
     """Rows of ``probe`` whose value is in the set of ``column``'s values."""
-    return probe.join(df.select(F.col(column).alias("__in")), F.col(probe_column) == F.col("__in"), "left_semi")
+    inside = unused(probe, "in")
+    return probe.join(df.select(F.col(column).alias(inside)), F.col(probe_column) == F.col(inside), "left_semi")
 
 
 def duplicates(df: DataFrame, *columns: str) -> DataFrame:
@@ -43,9 +47,10 @@ def update(df: DataFrame, where: Column, **to: Column) -> DataFrame:
 
 def update_in(df: DataFrame, column: str, keys: DataFrame, key: str, **to: Column) -> DataFrame:
     """``update`` of the rows whose ``column`` is among ``keys``."""
-    flag = keys.select(F.col(key).alias("__key")).distinct().withColumn("__hit", F.lit(True))
-    marked = df.join(flag, F.col(column) == F.col("__key"), "left")
-    return update(marked, F.col("__hit"), **to).select(*df.columns)
+    wanted, hit = unused(df, "key"), unused(df, "hit")
+    flag = keys.select(F.col(key).alias(wanted)).distinct().withColumn(hit, F.lit(True))
+    marked = df.join(flag, F.col(column) == F.col(wanted), "left")
+    return update(marked, F.col(hit), **to).select(*df.columns)
 
 
 def delete(df: DataFrame, where: Column) -> DataFrame:
@@ -53,25 +58,38 @@ def delete(df: DataFrame, where: Column) -> DataFrame:
     return df.where(~F.coalesce(where, F.lit(False)))
 
 
-def ranked(df: DataFrame, keys: list[tuple[str, bool]], out: str = "position", buckets: int = 64) -> DataFrame:
-    """``df`` with each row's place, from 1, in the order of ``keys`` (column, ascending; the first one
-    numeric and without nulls), without sorting all rows in one task.
+#: Bytes of a partition that is sorted by one task, at about.
+SORT_BYTES = 64 << 20
+
+
+def ranked(df: DataFrame, keys: list[tuple[str, bool]], out: str = "position", partitions: int | None = None) -> DataFrame:
+    """``df`` with each row's place, from 1, in the order of ``keys`` (column, ascending). Nulls come
+    first where a key rises and last where it falls; rows alike in all keys keep the order they had.
 
-    Quantiles of the first key cut the rows into buckets; a row's place is its place in its bucket
-    plus the sizes of the buckets before. Only as many boundaries as buckets come to the driver.
+    Rows are dealt by ranges of all keys and, within rows alike in these, by an ordinal, so that a
+    frequent value is many partitions; each is sorted and written by its task, and its rows' numbers
+    follow from the sizes of the partitions before it. Only these sizes are gathered.
     """
-    first, rising = keys[0]
-    shares = [k / buckets for k in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(first, F.array(*map(F.lit, shares)), F.lit(1000)).alias("q")).first().q or []
-    cuts = sorted(set(cuts), reverse=not rising)
-    over = (lambda c: F.col(first) > F.lit(c)) if rising else (lambda c: F.col(first) < F.lit(c))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + over(c).cast("int")
-    placed = df.withColumn("__bucket", bucket)
-    order = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in keys]
-    sizes = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # at most ``buckets`` rows
-    within = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    return placed.withColumn("__row", within).join(F.broadcast(starts), "__bucket").withColumn(out, (F.col("__start") + F.col("__row")).cast("long")).drop("__bucket", "__n", "__start", "__row")
+    spark = df.sparkSession
+    if partitions is None:
+        size, cores = size_of(df), spark.sparkContext.defaultParallelism
+        known = size < 1 << 60  # else the optimizer has no idea
+        partitions = max(1, -(-size // SORT_BYTES), min(cores, -(-size // (1 << 20)))) if known else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tie, at, n, start = (unused(df, k) for k in ("tie", "at", "n", "start"))
+    order = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in keys] + [F.col(tie)]
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    # The number of a row within its partition is in the lower 33 bits.
+    rows = stored(dealt.drop(tie).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    sizes = rows.groupBy(F.shiftright(at, 33).alias(n)).agg(F.count("*").alias(start))
+    before = sizes.select(n, F.coalesce(F.sum(start).over(Window.orderBy(n).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(start))
+    placed = rows.withColumn(n, F.shiftright(at, 33)).join(F.broadcast(before), n)
+    return placed.withColumn(out, F.col(start) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1).select(*df.columns, out)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -67,7 +67,7 @@ class Distinct:
 @dataclass(frozen=True)
 class Agg:
     function: str  # SUM AVG MIN MAX COUNT
-    column: str | None
+    column: str | tuple[str, ...] | None  # several columns are added up by row
     name: str
 
 
@@ -90,6 +90,12 @@ class OrderBy:
     keys: tuple[tuple[str, bool], ...]  # column, ascending
 
 
+def inputs(aggregate: Agg) -> tuple[str, ...]:
+    """Columns that an aggregate reads."""
+    column = aggregate.column
+    return column if isinstance(column, tuple) else (column,) if column else ()
+
+
 def children(node) -> list:
     if isinstance(node, EquiJoin):
         return [node.left, node.right]

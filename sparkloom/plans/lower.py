@@ -8,10 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.plans.algebra import Aggregate, Attr, Compare, Distinct, EquiJoin, Get, Logic, OrderBy, Project, Select
-
-#: Join strategies by name, and the hint that asks for each.
-HINTS = {"nested_loops": "shuffle_replicate_nl", "merge": "merge", "hash": "shuffle_hash", "broadcast": "broadcast"}
+from sparkloom.operators.joins import equi_join, semi_join
+from sparkloom.plans.algebra import Aggregate, Attr, Compare, Distinct, EquiJoin, Get, Logic, OrderBy, Project, Select, inputs
 
 
 def operand(x) -> Column:
@@ -38,6 +36,11 @@ def _short(name: str) -> str:
     return name.split(".")[-1]
 
 
+def _grouped(node) -> bool:
+    """Whether columns come from an aggregation, which gives them short names."""
+    return isinstance(node, Aggregate) or (isinstance(node, Select | Project | Distinct | OrderBy) and _grouped(node.child))
+
+
 def lower(node, table: Callable[[str], DataFrame]) -> DataFrame:
     """DataFrame of ``node``; ``table`` gives stored tables by name."""
     if isinstance(node, Get):
@@ -46,22 +49,22 @@ def lower(node, table: Callable[[str], DataFrame]) -> DataFrame:
     if isinstance(node, Select):
         return lower(node.child, table).where(predicate(node.predicate))
     if isinstance(node, Project):
-        return lower(node.child, table).select(*map(F.col, node.columns))
+        return lower(node.child, table).select(*map(_short, node.columns) if _grouped(node.child) else node.columns)
     if isinstance(node, Distinct):
         return lower(node.child, table).distinct()
     if isinstance(node, OrderBy):
-        return lower(node.child, table).orderBy(*(F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in node.keys))
+        named = _short if _grouped(node.child) else str
+        return lower(node.child, table).orderBy(*(F.col(named(c)).asc_nulls_first() if up else F.col(named(c)).desc_nulls_last() for c, up in node.keys))
     if isinstance(node, EquiJoin):
         left, right = lower(node.left, table), lower(node.right, table)
-        if node.strategy:
-            right = right.hint(HINTS[node.strategy])
         if not node.left_keys:
             return left.crossJoin(right)
-        on = reduce(lambda a, b: a & b, (F.col(a) == F.col(b) for a, b in zip(node.left_keys, node.right_keys, strict=True)))
-        return left.join(right, on, "inner")
+        pairs = list(zip(node.left_keys, node.right_keys, strict=True))
+        return semi_join(left, right, pairs) if node.strategy == "semi" else equi_join(left, right, pairs, node.strategy)
     if isinstance(node, Aggregate):
         functions = {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max, "COUNT": F.count}
-        aggs = [functions[a.function](F.col(a.column) if a.column else F.lit(1)).alias(a.name) for a in node.aggregates]
+        value = lambda a: reduce(lambda x, y: x + y, map(F.col, inputs(a))) if a.column else F.lit(1)
+        aggs = [functions[a.function](value(a)).alias(a.name) for a in node.aggregates]
         return lower(node.child, table).groupBy(*(F.col(g).alias(_short(g)) for g in node.groups)).agg(*aggs)
     if isinstance(node, Compare):
         raise TypeError("a predicate is no relation")

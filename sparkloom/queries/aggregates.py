@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.operators.access import ranked
+from sparkloom.plans.sql import Session
 from sparkloom.queries.base import exact_sum, query
 
 C = F.col
@@ -66,7 +67,8 @@ def agg_having(t, spark, sf):
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 5000")
 def having_as_where(t, spark, sf):
-    return t("supplier").where(C("s_acctbal") > 5000).select("s_suppkey", "s_acctbal")
+    """HAVING without groups or aggregates selects rows."""
+    return Session(spark, {"supplier": t("supplier")}).run("SELECT s_suppkey, s_acctbal FROM supplier HAVING s_acctbal > 5000")
 
 
 @query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")

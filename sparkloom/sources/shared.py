@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Only where that is unset (local runs, tests) a temporary
-    folder of this machine is taken, which is then also set as checkpoint folder."""
+    """The cluster's ``spark.checkpoint.dir``. Only where that is unset and all runs on this machine
+    (local mode, tests) a temporary folder is taken, which is then also set as checkpoint folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "sparkloom-shared"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -28,4 +30,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor can read the files, also after another one is lost."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables from ``stored`` that nothing reads any more."""
+    for table in tables:
+        delete(table.sparkSession, table.stored_at)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Remove a folder of any file system that Spark reaches; whether there was one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
