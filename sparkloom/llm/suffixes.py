@@ -7,39 +7,51 @@ decided by sorting suffixes, one bucket at a time:
    50-byte strings (the first one on ties). Equal strings have equal minimisers, so the minimiser's
    50 bytes name the bucket. Consecutive starts with the same minimiser form a run; only runs whose
    bucket has two or more members go on.
-2. Runs of a bucket whose whole texts are all alike are settled: all their strings are repeated.
-3. Of the others, each distinct text is sent once to its bucket. Within a bucket the suffixes are
-   sorted to a depth of 200. A difference cover modulo 3, residues {0, 1}, gives the sample: its ranks
-   are computed first, by tripling the depth, to 198 bytes. Two suffixes of any residues reach sample
-   places at the same small offset, so the order of any two, and whether they agree in 200 bytes,
-   follows from at most two bytes and one rank: long ties never get compared byte by byte. Memory
-   is bounded by the bucket texts held at once.
-4. Buckets with more distinct texts than a task should hold are spread by their 200-byte strings'
-   own hashes, which are then counted: the same result without any large group.
+2. Runs with equal texts are counted, and each distinct text is sent once to its bucket. A bucket with
+   one distinct text has nothing to sort: no two strings of a run are equal, as both would have the
+   minimiser at the same offset, so all are repeated if the text occurs twice.
+3. Within each other bucket the suffixes are sorted to a depth of 200. A difference cover modulo 3,
+   residues {0, 1}, gives the sample: its ranks are computed first, by tripling the depth, to 198
+   bytes. Two suffixes of any residues reach sample places at the same small offset, so the order of
+   any two, and whether they agree in 200 bytes, follows from at most two bytes and one rank: long
+   ties never get compared byte by byte. Memory is bounded by the bucket texts held at once.
+4. A bucket of more bytes than a task should hold is halved by the minimiser's offset in the strings:
+   equal strings have it at the same one. All strings of a half have more than 50 bytes in common
+   places, and these name smaller buckets. At the eighth halving a bucket is one string, so this ends;
+   the same sorting settles what it leads to.
+
+A run's text is named by two 64-bit hashes, one of the minimiser's bytes and one of all: for a false
+match two texts of one bucket must agree in the second by chance. Rows are named by ``doc_id`` and a
+64-bit hash of the text, those without ``doc_id`` by two hashes.
 
 Defined results: a null text counts as the empty one; texts under 200 bytes lose nothing; repeated
-rows and equal texts of 200 bytes or more lose all; matches never cross rows.
+rows and equal texts of 200 bytes or more lose all; matches never cross rows; an empty table gives an
+empty table. Repeated rows, however many, are counted, and their text is sent to a bucket once.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, stored, text_or_empty
+from sparkloom.llm.common import arrow_types, discard, documents, stored, text_or_empty, unused
 
 DEPTH, CORE = 200, 50
 STARTS = DEPTH - CORE + 1
 #: Bytes of texts that are hashed together, and of bucket texts that are sorted together (under 2^21).
 BLOCK, BUCKET = 1_000_000, 1_800_000
-#: Distinct texts of a bucket that one task takes.
-WIDE = 4000
+#: Bytes of distinct texts of a bucket above which it is halved.
+WIDE = 400_000
+#: Names of rows that a task remembers, so as to cut repeated ones once.
+SEEN = 50_000
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -226,7 +238,12 @@ def stretches(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _keyed(df: DataFrame) -> DataFrame:
     """Texts as bytes, with the key that spans go back by: rows alike in it have equal texts."""
     text = text_or_empty()
-    return df.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64(text).alias("t"), text.cast("binary").alias("raw"))
+    return df.select("doc_id", *_key(), text.cast("binary").alias("raw"))
+
+
+def _key(d: str = "d", t: str = "t") -> tuple[Column, Column]:
+    text = text_or_empty()
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(7), text)).alias(d), F.xxhash64(text).alias(t)
 
 
 def _all_runs(rows: DataFrame) -> DataFrame:
@@ -251,40 +268,54 @@ def _all_runs(rows: DataFrame) -> DataFrame:
     return long_ones.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+TEXT = "key long, whole long, n long, lo int, hi int, offset int, raw binary"
+
+
 def _run_texts(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """``core, whole, n, wide, raw``: the text of each wanted run, cut from its row."""
-    lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("core", "whole", "n", "wide", "first", "starts")).alias("runs"))
+    """``TEXT`` of each wanted run, cut from its row. Repeated rows may give the same text again."""
+    lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("core", "whole", "n", "first", "starts", "offset")).alias("runs"))
+    types = arrow_types(TEXT)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: OrderedDict[tuple[int, int], None] = OrderedDict()
         for batch in batches:
-            for raw, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                raw, flat = raw.as_py(), wanted.values
-                core, whole, n, wide, first, starts = (flat.field(i).to_pylist() for i in range(6))
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if row[:2] in seen:
+                    continue
+                seen[row[:2]] = None
+                if len(seen) > SEEN:
+                    seen.popitem(last=False)
+                raw, flat = row[2].as_py(), row[3].values
+                core, whole, n, first, starts, offset = (flat.field(i).to_pylist() for i in range(6))
                 out = [raw[a : a + k - 1 + DEPTH] for a, k in zip(first, starts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(whole, pa.int64()), pa.array(n, pa.int64()), pa.array(wide, pa.bool_()), pa.array(out, pa.binary())], names=["core", "whole", "n", "wide", "raw"])
+                cols = (core, whole, n, [0] * len(core), [STARTS - 1] * len(core), offset, out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, types, strict=True)], names=[k for k, _ in types])
 
-    return rows.select("d", "t", "raw").join(lists.hint("shuffle_hash"), ["d", "t"]).select("raw", "runs").mapInArrow(cut, "core long, whole long, n long, wide boolean, raw binary")
+    return rows.select("d", "t", "raw").join(lists.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "raw", "runs").mapInArrow(cut, TEXT)
 
 
 def _sorted_buckets(texts: DataFrame) -> DataFrame:
-    """``core, whole, a, b``: repeated starts a..b-1 of each distinct run text; bucket by bucket."""
+    """``key, whole, a, b``: repeated starts a..b-1 of each distinct run text; bucket by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
-        size = 0
+        size, before = 0, None
 
         def flush(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
             out: list[list] = [[], [], [], []]
-            for (core, whole, _, _), mask in zip(rows, repeated_starts([r[3] for r in rows], [r[2] for r in rows]), strict=True):
+            for (key, whole, _, _), mask in zip(rows, repeated_starts([r[3] for r in rows], [r[2] for r in rows]), strict=True):
                 first, end = stretches(mask)
-                out[0] += [core] * len(first)
+                out[0] += [key] * len(first)
                 out[1] += [whole] * len(first)
                 out[2] += first.tolist()
                 out[3] += end.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["core", "whole", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["key", "whole", "a", "b"])
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if row[:2] == before:  # the same text from a repeated row
+                    continue
+                before = row[:2]
                 if size + len(row[3]) > BUCKET:  # all whole buckets so far; the last one may go on
                     done = next((k for k in range(len(held), 0, -1) if held[k - 1][0] != row[0]), 0)
                     if done:
@@ -296,24 +327,56 @@ def _sorted_buckets(texts: DataFrame) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return texts.select("core", "whole", "n", "raw").repartition("core").sortWithinPartitions("core").mapInArrow(run, "core long, whole long, a long, b long")
+    return texts.select("key", "whole", "n", "raw").repartition("key").sortWithinPartitions("key", "whole").mapInArrow(run, "key long, whole long, a long, b long")
+
 
+def halves(raw: bytes, lo: int, hi: int, offset: int) -> Iterator[tuple[int, int, int, int, int, int, bytes]]:
+    """A run text whose strings have the minimiser at offsets lo..hi, by the upper and lower half of
+    these: first string, key, hash of the text, lo, hi, offset of the minimiser in it, text."""
+    strings, middle = len(raw) - DEPTH + 1, (lo + hi + 1) // 2
+    cut = min(max(offset - middle + 1, 0), strings)
+    for a, b, low, high in ((0, cut, middle, hi), (cut, strings, lo, middle - 1)):
+        if a < b:
+            part, at = raw[a : b - 1 + DEPTH], offset - a
+            common = part[at - low : at + DEPTH - high]  # in the same place in all strings of this half
+            yield a, _signed(xxhash.xxh64_intdigest(common, low << 8 | high)), _signed(xxhash.xxh64_intdigest(part, 1 << 16)), low, high, at, part
 
-def _spread_buckets(texts: DataFrame) -> DataFrame:
-    """The same for wide buckets: each 200-byte string is counted by its two hashes."""
-    names = ["core", "whole", "a", "x", "y", "n"]
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _heavy(sizes: DataFrame, wide: int) -> DataFrame | None:
+    """Keys of the buckets (``key, size``) above the bound; ``None`` where there is none."""
+    heavy = stored(sizes.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > wide).select("key"), "op8-heavy")
+    return None if heavy.isEmpty() else heavy
+
+
+def _settled(texts: DataFrame, heavy: DataFrame | None, wide: int) -> DataFrame:
+    """``key, whole, a, b`` as from ``_sorted_buckets``; ``heavy`` buckets are halved first."""
+    if heavy is None:
+        return _sorted_buckets(texts)
+    texts = stored(texts.dropDuplicates(["key", "whole"]), "op8-texts")
+    names = ["key", "whole", "n", "a", "part_key", "part_whole", "lo", "hi", "offset", "raw"]
+    schema = "key long, whole long, n long, a long, part_key long, part_whole long, lo int, hi int, offset int, raw binary"
+    types = arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for core, whole, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                data = np.frombuffer(raw, np.uint8)
-                x, y = (Rolling(data, k).all_of(DEPTH).view(np.int64) for k in (0, 1))
-                cols = [np.full(len(x), core), np.full(len(x), whole), np.arange(len(x)), x, y, np.full(len(x), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
-
-    strings = texts.select("core", "whole", "n", "raw").mapInArrow(run, ", ".join(f"{n} long" for n in names))
-    again = strings.groupBy("x", "y").agg(F.sum("n").alias("times")).where("times > 1").select("x", "y")
-    return strings.join(again, ["x", "y"]).select("core", "whole", "a", (F.col("a") + 1).alias("b"))
+            for first in range(0, batch.num_rows, 1024):
+                out = []
+                for key, whole, n, lo, hi, offset, raw in zip(*(c.to_pylist() for c in batch.slice(first, 1024).columns), strict=True):
+                    out += [(key, whole, n, *half) for half in halves(raw, lo, hi, offset)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    parts = stored(texts.join(heavy, "key", "left_semi").select("key", "whole", "n", "lo", "hi", "offset", "raw").mapInArrow(run, schema), "op8-parts")
+    distinct = parts.groupBy("part_key", "part_whole").agg(F.sum("n").alias("n"), F.min(F.struct("lo", "hi", "offset", "raw")).alias("of"))
+    distinct = stored(distinct.select(F.col("part_key").alias("key"), F.col("part_whole").alias("whole"), "n", "of.*"), "op8-halves")
+    # A bucket of one offset holds one string, counted; it needs no further halving.
+    more = _heavy(distinct.where("lo < hi").select("key", F.octet_length("raw").alias("size")), wide)
+    found = _settled(distinct, more, wide).select(F.col("key").alias("part_key"), F.col("whole").alias("part_whole"), F.col("a").alias("from"), "b")
+    back = parts.select("key", "whole", "a", "part_key", "part_whole").join(found, ["part_key", "part_whole"])
+    return _sorted_buckets(texts.join(heavy, "key", "left_anti")).unionByName(back.select("key", "whole", (F.col("a") + F.col("from")).alias("a"), (F.col("a") + F.col("b")).alias("b")))
 
 
 def repeated_spans(rows: DataFrame, wide: int = WIDE) -> DataFrame:
@@ -323,21 +386,18 @@ def repeated_spans(rows: DataFrame, wide: int = WIDE) -> DataFrame:
     shared = found.groupBy("core").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1")
     # Written, so that the join below deals both sides anew: a frequent core's rows can then be split.
     shared = stored(shared.select("core", (F.col("lo") == F.col("hi")).alias("settled")), "op8-shared")
-    members = stored(found.join(shared, "core").select("d", "t", "core", "whole", "first", F.shiftright("shape", 8).alias("starts"), "settled"), "op8-members")
+    starts, offset = F.shiftright("shape", 8).alias("starts"), F.col("shape").bitwiseAND(F.lit(255).cast("long")).cast("int").alias("offset")
+    members = stored(found.join(shared, "core").select("d", "t", "core", "whole", "first", starts, offset, "settled"), "op8-members")
+    discard(found, shared)
     open_ = members.where("NOT settled")
-    distinct = open_.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "first", "starts")).alias("at"))
+    distinct = open_.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "first", "starts", "offset")).alias("at"))
     distinct = stored(distinct.select("core", "whole", "n", "at.*"), "op8-distinct")
-    many = distinct.groupBy("core").count().where(F.col("count") > wide).select("core", F.lit(True).alias("wide"))
-    any_wide = bool(many.take(1))
-    wanted = distinct.join(many, "core", "left").withColumn("wide", F.coalesce("wide", F.lit(False))) if any_wide else distinct.withColumn("wide", F.lit(False))
-    texts = _run_texts(wanted, rows)
-    verdict = _sorted_buckets(texts.where("NOT wide"))
-    if any_wide:
-        verdict = verdict.unionByName(_spread_buckets(texts.where("wide")))
+    heavy = _heavy(distinct.select(F.col("core").alias("key"), (F.col("starts") + DEPTH - 1).alias("size")), wide)
+    verdict = _settled(_run_texts(distinct, rows), heavy, wide).withColumnRenamed("key", "core")
     packed = lambda a, b: (F.shiftleft(a, 32) + b).alias("span")
     late = open_.join(verdict, ["core", "whole"]).select("d", "t", packed(F.col("first") + F.col("a"), F.col("first") + F.col("b")))
     sure = members.where("settled").select("d", "t", packed(F.col("first"), F.col("first") + F.col("starts")))
-    return sure.unionByName(late).groupBy("d", "t").agg(F.collect_list("span").alias("spans"))
+    return sure.unionByName(late).groupBy("d", "t").agg(F.collect_set("span").alias("spans"))
 
 
 def removed(spans: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -401,9 +461,10 @@ def without_repeats(df: DataFrame, wide: int = WIDE) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     spans = repeated_spans(_keyed(df), wide)
-    keyed = df.withColumn("__d", F.coalesce("doc_id", F.lit(-1))).withColumn("__t", F.xxhash64(text_or_empty()))
-    joined = keyed.join(spans.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("spans").alias("__spans")).hint("shuffle_hash"), ["__d", "__t"], "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("__spans")))
+    d, t, found = (unused(df, k) for k in ("d", "t", "spans"))
+    keyed = df.select("*", *_key(d, t))
+    joined = keyed.join(spans.select(F.col("d").alias(d), F.col("t").alias(t), F.col("spans").alias(found)).hint("shuffle_hash"), [d, t], "left")
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col(found)))
     return joined.withColumn("text", text).select(*df.columns)
 
 
