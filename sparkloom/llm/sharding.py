@@ -6,11 +6,16 @@ slots first: a slot stays where it is as long as its shard keeps within the mean
 fit then move to the shard that has the least so far. Maps are stored as Parquet, one folder a version, so that readers of
 an older version stay consistent.
 
-A row's place in its shard is the number of rows in the shard's earlier slots plus its place in its
-slot, so that no task has to sort a whole shard.
+Slots are hashed from ``doc_id``. Rows without one, and all rows of a crowded slot (several rows of
+together over 1/1024 of all bytes: an id that is very often repeated), are hashed from an ordinal of
+their own, so that no key's rows are stuck to one shard. Ordinals are stored with the rows before any
+of this is decided.
 
-Defined results: the hash takes ``doc_id``, or the text where that is null; a null text has size 1;
-repeated rows have different places; an empty table gives an empty table.
+A row's place in its shard is the number of rows in the shard's earlier parts of slots plus its place
+in its part, so that no task has to sort a shard or a slot.
+
+Defined results: a null text has size 1; rows with a null or repeated ``doc_id`` have slots and places
+of their own, as have repeated rows; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,14 +24,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.llm.common import documents, text_or_empty
+from sparkloom.llm.common import documents, fresh_path, stored, text_or_empty
 
 SLOTS, SHARDS = 4096, 16
+#: A slot of several rows over this share of all bytes is crowded; so there are fewer of them than this.
+CROWDED = 1024
+#: Parts of a slot in which rows are numbered.
+PARTS = 16
 MAP = "version int, virtual_slot int, shard int, n_rows long, n_bytes long"
 
 
 def slot_of(key: Column, otherwise: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.when(key.isNull(), F.xxhash64(otherwise)).otherwise(F.xxhash64(key)), F.lit(slots)).cast("int")
+    return F.pmod(F.when(key.isNull(), F.xxhash64(F.lit("ordinal"), otherwise)).otherwise(F.xxhash64(key)), F.lit(slots)).cast("int")
+
+
+def slotted(rows: DataFrame, key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
+    """``rows`` (narrow ones, with ``size``), written with an ``ordinal`` each, and their ``virtual_slot``."""
+    rows = stored(rows.withColumn("ordinal", F.monotonically_increasing_id()), "op3-rows")
+    rows = rows.withColumn("virtual_slot", slot_of(F.col(key), F.col("ordinal"), slots))
+    loads = stored(slot_loads(rows), "op3-loads")
+    total = loads.agg(F.sum("n_bytes")).first()[0] or 0
+    crowded = loads.where((F.col("n_rows") > 1) & (F.col("n_bytes") * CROWDED > total)).select("virtual_slot", F.lit(True).alias("crowded"))
+    spread = F.when(F.col("crowded"), slot_of(F.lit(None), F.col("ordinal"), slots)).otherwise(F.col("virtual_slot"))
+    return rows.join(F.broadcast(crowded), "virtual_slot", "left").withColumn("virtual_slot", spread).drop("crowded")
 
 
 def first_map(spark: SparkSession, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
@@ -82,17 +102,21 @@ def slot_loads(rows: DataFrame) -> DataFrame:
 
 def place(rows: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` (with ``virtual_slot``) with ``shard``, ``map_version`` and ``slot``, the place in the
-    shard, gapless from 0. ``slot_map`` has a fixed number of rows and is broadcast."""
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slot_map.select("virtual_slot", "shard", F.col("version").alias("map_version"), F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("virtual_slot").orderBy(*order)
-    placed = rows.withColumn("__rank", F.row_number().over(within)).join(F.broadcast(offsets), "virtual_slot")
-    return placed.withColumn("slot", (F.col("__before") + F.col("__rank") - 1).cast("long")).drop("__before", "__rank")
+    shard, gapless from 0. Parts of slots, of a fixed number, are broadcast with the rows before them."""
+    parted = rows.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(PARTS)).cast("int"))
+    before = Window.partitionBy("shard").orderBy("virtual_slot", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parted.groupBy("virtual_slot", "__part").agg(F.count("*").alias("__n")).join(F.broadcast(slot_map.select("virtual_slot", "shard", F.col("version").alias("map_version"))), "virtual_slot")
+    offsets = counts.select("virtual_slot", "__part", "shard", "map_version", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("virtual_slot", "__part").orderBy(*order)
+    placed = parted.withColumn("__rank", F.row_number().over(within)).join(F.broadcast(offsets), ["virtual_slot", "__part"])
+    return placed.withColumn("slot", (F.col("__before") + F.col("__rank") - 1).cast("long")).drop("__before", "__rank", "__part")
 
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_or_empty()
-    rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id"), text).alias("virtual_slot"))
-    slot_map = rebalanced(first_map(spark), slot_loads(rows))
-    placed = place(rows, slot_map, ["doc_id", "text_crc32", "size"])
+    rows = slotted(documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
+    path = fresh_path(spark, "op3-map")
+    save_map(first_map(spark), path, 0)
+    save_map(rebalanced(load_map(spark, path, 0), slot_loads(rows)), path, 1)
+    placed = place(rows, load_map(spark, path, 1), ["doc_id", "text_crc32", "size", "ordinal"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")

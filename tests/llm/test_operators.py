@@ -303,6 +303,22 @@ def test_sharding(spark, folder):
         assert all(abs(n - mean) < 0.02 * mean for n in loads.values())
 
 
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 3 if k % 3 else k, lambda k: k % 130, lambda k: None if k % 2 else 4])
+def test_sharding_without_usable_ids(spark, tmp_path, ids):
+    """Rows without an id, or with few ids, keep the law as well: within 2 % of the mean."""
+    rows = [(ids(k), "x" * (k * 7919 % 50) if k % 4 else "the same text") for k in range(8000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.queries()["op3_virtual_slots"](spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.size) for r in found) == Counter((i, len(t) + 1) for i, t in rows)
+    loads, slots = Counter(), defaultdict(list)
+    for r in found:
+        loads[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    mean = sum(loads.values()) / 16
+    assert len(loads) == 16 and all(abs(n - mean) < 0.02 * mean for n in loads.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_rebalancing_edits_the_map(spark, tmp_path):
     loads = spark.range(64).selectExpr("CAST(id AS INT) AS virtual_slot", "CAST(1 AS LONG) AS n_rows", "CAST(100 AS LONG) AS n_bytes")
     first = sharding.first_map(spark, 64, 4)
@@ -453,20 +469,65 @@ def test_components_of_a_chain(spark):
 # 8
 
 
-def test_suffixes(spark, folder):
-    data = [(i, (t or "").encode()) for i, t in table(folder)]
-    starts = Counter(b[k : k + 200] for _, b in data for k in range(len(b) - 199))
-    want = []
-    for i, b in data:
+def without_repeated(texts):
+    """Per text: size, removed bytes, removed runs, digest of the rest."""
+    starts = Counter(b[k : k + 200] for b in texts for k in range(len(b) - 199))
+    out = []
+    for b in texts:
         gone = bytearray(len(b))
         for k in range(len(b) - 199):
             if starts[b[k : k + 200]] > 1:
                 gone[k : k + 200] = b"\1" * 200
-        runs = len(re.findall(b"\1+", bytes(gone)))
-        want.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+        out.append((len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+def test_suffixes(spark, folder):
+    data = [(i, (t or "").encode()) for i, t in table(folder)]
+    want = [(i, *rest) for (i, _), rest in zip(data, without_repeated([b for _, b in data]), strict=True)]
     assert key(got(spark, "op8_suffixes", folder)) == key(want)
     df = spark.read.parquet(f"{folder}/documents.parquet")
-    assert key(map(tuple, suffixes.digest(df, wide=1).collect())) == key(want)  # every bucket spread
+    for wide in (1, 3000):  # every bucket halved down to single strings; some buckets halved a few times
+        assert key(map(tuple, suffixes.digest(df, wide=wide).collect())) == key(want)
+
+
+def test_suffixes_of_repeated_rows(spark):
+    """Very many equal rows without id, and one text that shares a passage with them."""
+    rnd = np.random.default_rng(3)
+    text = rnd.integers(97, 123, 420).astype(np.uint8).tobytes().decode()
+    other = text[:300] + "-" * 30 + rnd.integers(97, 123, 400).astype(np.uint8).tobytes().decode()
+    df = spark.createDataFrame([(None, text)] * 12_000 + [(7, text)] * 3 + [(9, other)], "doc_id long, text string").repartition(6)
+    out = suffixes.digest(df).collect()
+    equal, alone = without_repeated([text.encode(), text.encode(), other.encode()])[1:]
+    assert Counter(map(tuple, out)) == {(None, *equal): 12_000, (7, *equal): 3, (9, *alone): 1}
+    assert sorted((r.doc_id or 0, r.text) for r in suffixes.without_repeats(df).where("doc_id = 9").collect()) == [(9, other[300:])]
+
+
+def test_suffixes_of_one_large_bucket(spark):
+    """One passage of 60 bytes in 3,000 texts, all around it different or alike in part: the bucket is halved."""
+    rnd = np.random.default_rng(8)
+    letters = lambda n: rnd.integers(97, 123, n).astype(np.uint8).tobytes()
+    core, lefts, rights = letters(60), [letters(180) for _ in range(55)], [letters(180) for _ in range(55)]
+    texts = [lefts[k % 55] + core + rights[k // 55] if k % 3 else letters(180) + core + letters(180) for k in range(3000)]
+    df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
+    want = [(k, *rest) for k, rest in enumerate(without_repeated(texts))]
+    for wide in (suffixes.WIDE, 20_000):
+        assert key(map(tuple, suffixes.digest(df, wide=wide).collect())) == key(want)
+
+
+def test_halves():
+    rnd = np.random.default_rng(2)
+    for _ in range(50):
+        strings, offset = int(rnd.integers(1, 152)), 150
+        raw = rnd.integers(0, 256, strings + 199).astype(np.uint8).tobytes()
+        open_, ends = [(0, 0, 150, offset, raw)], {}
+        while open_:
+            start, lo, hi, at, part = open_.pop()
+            if lo == hi:
+                ends[start] = part
+                continue
+            open_ += [(start + a, low, high, o, piece) for a, _, _, low, high, o, piece in suffixes.halves(part, lo, hi, at)]
+        assert ends == {k: raw[k : k + 200] for k in range(strings)}
 
 
 def test_suffix_order():
