@@ -2,10 +2,13 @@
 
 Samples are 8 kHz mono. Companded bytes are expanded by 256-entry tables that are computed from the
 companding rules; IMA ADPCM is decoded step by step, but for all blocks at once in numpy; PCM is
-resampled by linear interpolation and stored as little-endian 16-bit bytes.
+resampled by linear interpolation and stored as little-endian 16-bit bytes, a row of a table for each
+medium. The query's features come from the stored samples, read back: mu-law, A-law and ADPCM ones
+from the container's, all others from the table's PCM.
 
 Defined results: a null payload or text counts as the empty one; an empty payload expands to empty
-PCM; equal inputs give equal outputs; a WAV container that is cut short raises ``ValueError``.
+PCM; equal inputs give equal outputs; a WAV container that is cut short raises ``ValueError``; repeated rows
+and rows without ``doc_id`` have a row each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, map_arrow, text_or_empty
+from sparkloom.llm.common import arrow_types, documents, map_arrow, stored, text_or_empty
 
 RATE = 8000
 #: Payloads are padded to whole frames of so many bytes (24 ms), which are ADPCM blocks as well.
@@ -182,13 +185,12 @@ def payload_of(text: str) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(FRAME, -(-len(raw) // FRAME) * FRAME), b" ")
 
 
-def media_digest(df: DataFrame) -> DataFrame:
-    """Each text as the payload of a mu-law WAV; what is read back from it, and features: root mean
-    squares of the payload expanded as mu-law, A-law and ADPCM, zero crossings, and the checksum of
-    the mu-law PCM resampled to 16 kHz."""
+def media_table(df: DataFrame) -> DataFrame:
+    """Each text as the payload of a mu-law WAV, described by what is read back from that: sizes, digests,
+    root mean squares of the payload expanded as A-law and ADPCM, and ``pcm``, mu-law resampled to 16 kHz."""
 
     def block(c: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        out: dict[str, list] = {k: [] for k, _ in arrow_types(MEDIA)}
         made = [(n, to_wav(p)) for n, p in map(payload_of, c["text"])]
         read = [from_wav(m)[2] for _, m in made]
         first = 0
@@ -205,17 +207,39 @@ def media_digest(df: DataFrame) -> DataFrame:
             ima = np.add.reduceat(energy, starts) / ((ends - starts) * (1 + 2 * (FRAME - ADPCM_HEADER)))
             for k in range(first, last):
                 (n, media), payload = made[k], read[k]
-                mu, al = expand(payload, "mulaw"), expand(payload, "alaw")
-                rms = [round(float(np.sqrt(np.mean(np.square(x, dtype=np.float64)))), 3) for x in (mu, al)]
-                feature = {"alaw_rms": rms[1], "crossings": int(np.count_nonzero(np.diff(np.signbit(mu)))), "ima_rms": round(float(np.sqrt(ima[k - first])), 3), "mulaw_rms": rms[0], "pcm16k_crc32": zlib.crc32(resample(mu, RATE, 2 * RATE).astype("<i2").tobytes())}
-                row = (c["doc_id"][k], n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), json.dumps(feature, sort_keys=True))
+                pcm = resample(expand(payload, "mulaw"), RATE, 2 * RATE).astype("<i2").tobytes()
+                row = (c["doc_id"][k], n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), rms(expand(payload, "alaw")), round(float(np.sqrt(ima[k - first])), 3), pcm)
                 for name, value in zip(out, row, strict=True):
                     out[name].append(value)
             first = last
         return out
 
+    return map_arrow(df.select("doc_id", text_or_empty().alias("text")), block, MEDIA, ["doc_id", "text"], rows=128)
+
+
+MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, alaw_rms double, ima_rms double, pcm binary"
+
+
+def rms(samples: np.ndarray) -> float:
+    return round(float(np.sqrt(np.mean(np.square(samples, dtype=np.float64)))), 3)
+
+
+def media_digest(df: DataFrame) -> DataFrame:
+    """The media of ``df``'s texts: their PCM is stored, read back and described, with what ``media_table``
+    says of the container. Of 16 kHz PCM every other sample is one of the 8 kHz signal."""
+    table = stored(media_table(df), "op2-pcm", compression="zstd", **{"parquet.compression.codec.zstd.level": 9})
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+
+    def block(c: dict[str, list]) -> dict[str, list]:
+        features = []
+        for alaw, ima, pcm in zip(c["alaw_rms"], c["ima_rms"], c["pcm"], strict=True):
+            mu = np.frombuffer(pcm, "<i2")[::2]
+            feature = {"alaw_rms": alaw, "crossings": int(np.count_nonzero(np.diff(np.signbit(mu)))), "ima_rms": ima, "mulaw_rms": rms(mu), "pcm16k_bytes": len(pcm), "pcm16k_crc32": zlib.crc32(pcm)}
+            features.append(json.dumps(feature, sort_keys=True))
+        return {**{n: c[n] for n in names}, "feature": features}
+
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_arrow(df.select("doc_id", text_or_empty().alias("text")), block, schema, ["doc_id", "text"])
+    return map_arrow(table, block, schema, [*names, "alaw_rms", "ima_rms", "pcm"], rows=128)
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
