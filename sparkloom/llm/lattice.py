@@ -8,9 +8,10 @@ document's is the product over its words and the end. Entries start from the voc
 (its scores: the earlier an entry, the likelier) and are fitted by expectation maximisation on the
 words of the training part, counted over all its documents.
 
-Words are counted with partial sums. Counts of the ``TOP_WORDS`` most frequent words, a fixed
-number, go to all tasks; counts of all other words are joined to the few words of a document that
-need them. No word is dropped, and no key of that join is frequent.
+Words are counted with partial sums, and each distinct word's probability is computed once. Counts and
+probabilities of the most frequent words, a fixed number of words and bytes, go to all tasks; those of
+all other words are joined to the few words of a document that need them. No word is dropped, and no
+key of that join is frequent, however long it is.
 
 Defined results: a null text counts as the empty one and has just the end token; a null ``doc_id``
 counts as empty text in the split (so the row is held out); repeated rows are scored alike, each in
@@ -19,7 +20,6 @@ its own row; without any training document all counts are zero and base scores c
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from math import log, log10
@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe
 from sparkloom.llm.bpe_codec import BYTE_BPE
-from sparkloom.llm.common import documents, stored, text_or_empty
+from sparkloom.llm.common import discard, documents, stored, text_or_empty
 
 FOLDS, ALPHA = 10, 0.1
-#: Words whose counts go to every task, none longer than TOP_LENGTH bytes: under 20 MB.
-TOP_WORDS, TOP_LENGTH = 200_000, 64
+#: Words, and their bytes, whose counts and probabilities go to every task: under 20 MB.
+TOP_WORDS, TOP_BYTES = 200_000, 10_000_000
 ROUNDS = 3
 SMOOTHING = 0.01
-#: Distinct words that a task holds before it passes on its partial counts, and remembered scores.
-HELD_WORDS, HELD_SCORES = 400_000, 400_000
+#: Distinct words that a task holds before it passes on its partial counts.
+HELD_WORDS = 400_000
 #: The end token in word tables; words are never empty.
 END = b""
 _FACTOR, _SLOT_BITS = 0x9E3779B97F4A7C15, 20
@@ -51,10 +51,6 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and six white-space signs
 
 
-def held_out(doc_id: int | None) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == 0
-
-
 class Lattice:
     """Entries with log probabilities (natural), and recursions over the segmentations of words.
 
@@ -85,7 +81,6 @@ class Lattice:
         self.crowded[slots[taken]] = True
         order = taken[np.argsort(keys[taken])]
         self.rest, self.rest_keys = order, keys[order]
-        self.known: dict[bytes, float] = {}
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
@@ -164,13 +159,6 @@ class Lattice:
                         np.add.at(uses, entry, share)
         return uses[:-1]
 
-    def learn(self, words: list[bytes]) -> None:
-        """Remember the probabilities of words; beyond the bound those in use now are kept."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > HELD_SCORES:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        self.known.update(zip(new, self.marginals(new).tolist(), strict=True))
-
 
 def entries(path: str) -> list[bytes]:
     """Entries of the vocabulary that can occur in a lower-cased word with a space before it."""
@@ -186,44 +174,69 @@ def prior(path: str) -> dict[bytes, float]:
     return {t: -log(k + 10) - log(mass) for k, t in enumerate(found)}
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """``word binary, c long`` over all rows of ``train`` (``text``), the end token included."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``word binary, c long`` of all words in ``rows`` (``text``, ``out``), the end token included; ``c``
+    counts rows that are not held out, so it is zero for words that only held-out rows have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                for text in batch.column(0).slice(at, 256).to_pylist():
-                    held.update(words_of(text))
-                    held[END] += 1
+                part = batch.slice(at, 256)
+                for text, out in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    words = words_of(text)
+                    words.append(END)
+                    if out:
+                        for w in words:
+                            held.setdefault(w, 0)
+                    else:
+                        held.update(words)
                 if len(held) > HELD_WORDS:
                     yield _counted(held)
                     held = Counter()
         yield _counted(held)
 
-    return train.select(text_or_empty().alias("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.select(text_or_empty().alias("text"), "out").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _counted(held: Counter[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
 
-def frequent(counts: DataFrame) -> dict[bytes, int]:
-    """Counts of at most ``TOP_WORDS`` words, the most frequent ones: all from a least class of counts
-    up. Classes are sixteenths of a power of two, so their sizes are few rows; sorting for a limit
-    instead would bring that many rows from every partition to the driver."""
-    short = counts.where(F.octet_length("word") <= TOP_LENGTH).withColumn("class", F.floor(F.log2("c") * 16).cast("int"))
-    sizes = sorted(((r["class"], r["count"]) for r in short.groupBy("class").count().collect()), reverse=True)
-    least, words = None, 0
-    for level, size in sizes:
-        words += size
-        if words > TOP_WORDS:
+def scored_words(counts: DataFrame, logp: dict[bytes, float]) -> DataFrame:
+    """``counts`` with ``m``: log10 of each word's probability, that of the end included."""
+    sent = counts.sparkSession.sparkContext.broadcast(logp)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inner = dict(sent.value)
+        end = inner.pop(END) / log(10)
+        lattice = Lattice(inner)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            real = [k for k, w in enumerate(words) if w != END]
+            m = np.full(len(words), end)
+            m[real] = lattice.marginals([words[k] for k in real])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(m)], names=["word", "c", "m"])
+
+    return counts.mapInArrow(run, "word binary, c long, m double")
+
+
+def frequent(scored: DataFrame) -> dict[bytes, tuple[int, float]]:
+    """Counts and scores of the most frequent words, at most ``TOP_WORDS`` of ``TOP_BYTES``: all from a
+    least class of counts up. Classes are sixteenths of a power of two, so their sizes are few rows; sorting
+    for a limit instead would bring that many rows from every partition to the driver."""
+    used = scored.where("c > 0").withColumn("class", F.floor(F.log2("c") * 16).cast("int"))
+    sizes = used.groupBy("class").agg(F.count("*").alias("words"), F.sum(F.octet_length("word")).alias("bytes")).collect()
+    least, words, size = None, 0, 0
+    for r in sorted(sizes, key=lambda r: -r["class"]):
+        words, size = words + r["words"], size + r["bytes"]
+        if words > TOP_WORDS or size > TOP_BYTES:
             break
-        least = level
+        least = r["class"]
     if least is None:
         return {}
-    found = short.where(F.col("class") >= least).select("word", "c").toArrow()
-    return dict(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True))
+    found = used.where(F.col("class") >= least).select("word", "c", "m").toArrow()
+    return {w: (c, m) for w, c, m in zip(*(found[k].to_pylist() for k in ("word", "c", "m")), strict=True)}
 
 
 def fit(counts: DataFrame, path: str, rounds: int = ROUNDS) -> dict[bytes, float]:
@@ -254,77 +267,55 @@ def fit(counts: DataFrame, path: str, rounds: int = ROUNDS) -> dict[bytes, float
     return logp
 
 
-class _Scorer:
-    """What a worker keeps between blocks: entries, counts of frequent words."""
-
-    def __init__(self, logp: dict[bytes, float], top: dict[bytes, int], n: int, v: int):
-        logp = dict(logp)
-        self.end = logp.pop(END) / log(10)
-        self.lattice, self.top, self.floor = Lattice(logp), top, n + ALPHA * (v + 1)
-        self.base = {w: log10((c + ALPHA) / self.floor) for w, c in top.items()}
-
-
-_SCORERS: dict[int, _Scorer] = {}
-
-
 def score(df: DataFrame, path: str | None = None) -> DataFrame:
     """Base and model scores of each row of ``df`` (``doc_id``, ``text``); learns from its training part."""
     path = path or public_tokenizers.path(BYTE_BPE)
     spark = df.sparkSession
-    rows = df.select("doc_id", text_or_empty().alias("text"))
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
-    counts = stored(word_counts(rows.where(~out)), "op6-counts")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    sent = spark.sparkContext.broadcast((fit(counts, path), frequent(counts), n, v))
-    tag = zlib.crc32(repr((path, n, v, id(sent))).encode())
+    rows = df.select("doc_id", text_or_empty().alias("text"), out.alias("out"))
+    counts = stored(word_counts(rows), "op6-counts")
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    scored = stored(scored_words(counts, fit(counts.where("c > 0"), path)), "op6-words")
+    discard(counts)
+    floor = float(n + ALPHA * (v + 1))
+    top = {w: (c, log10((c + ALPHA) / floor), m) for w, (c, m) in frequent(scored).items()}
+    sent = spark.sparkContext.broadcast(top)
     names = ["row", "doc_id", "word", "cnt", "held_out", "n_tokens", "n_known", "base_score", "score"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tag not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[tag] = _Scorer(*sent.value)
-        s = _SCORERS[tag]
-        row = TaskContext.get().partitionId() << 36
+        top, row = sent.value, TaskContext.get().partitionId() << 36
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 made: list[tuple] = []
-                block = [words_of(text) for text in part.column(1).to_pylist()]
-                s.lattice.learn(list(set().union(*block)))
-                marginal = s.lattice.known
-                for doc, words in zip(part.column(0).to_pylist(), block, strict=True):
-                    base = known = model = 0
+                for doc, text, out in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    words = words_of(text)
+                    words.append(END)
+                    base = model = known = 0
                     rare: list[tuple[bytes, int]] = []
                     for w, k in Counter(words).items():
-                        model += k * marginal[w]
-                        if (b := s.base.get(w)) is not None:
-                            base, known = base + k * b, known + k
+                        if (found := top.get(w)) is not None:
+                            base, model, known = base + k * found[1], model + k * found[2], known + k
                         else:
                             rare.append((w, k))
-                    if (b := s.base.get(END)) is not None:
-                        base, known = base + b, known + 1
-                    else:
-                        rare.append((END, 1))
                     # The document's own row gets a key that is no word (it has a space) and no hot key.
-                    made.append((row, doc, b" %d" % row, 0, held_out(doc), len(words) + 1, known, float(base), float(model + s.end)))
+                    made.append((row, doc, b" %d" % row, 0, out, len(words), known, float(base), float(model)))
                     made += [(row, None, w, k, None, None, None, None, None) for w, k in rare]
                     row += 1
                 cols = list(zip(*made, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=names)
 
     schema = "row long, doc_id long, word binary, cnt long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    parts = rows.mapInArrow(run, schema).join(counts, "word", "left")
-    floor = n + ALPHA * (v + 1)
-    rare = F.col("cnt") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + ALPHA) / F.lit(float(floor)))
+    parts = rows.mapInArrow(run, schema).join(scored, "word", "left")
+    rare = F.col("cnt") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + ALPHA) / F.lit(floor))
     summed = parts.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("cnt")).otherwise(0))).alias("n_known"),
-        (F.sum("base_score") + F.sum(rare)).alias("base_score"), F.max("score").alias("score"),
+        (F.sum("n_known") + F.sum(F.when(F.col("c") > 0, F.col("cnt")).otherwise(0))).alias("n_known"),
+        (F.sum("base_score") + F.sum(rare)).alias("base_score"), (F.sum("score") + F.sum(F.coalesce(F.col("cnt") * F.col("m"), F.lit(0.0)))).alias("score"),
     )
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
-
