@@ -9,8 +9,12 @@ more, the item of the largest dot product is cut to fill the room, and its rest
 Packing takes place in the task that tokenises, over blocks of a bounded number of tokens: ids are
 never shuffled, and a block's last sequence is the only one that may stay open.
 
-Defined results: a null text counts as the empty one; an empty document still has its end token, so
-every row has at least one piece; repeated rows are packed once each.
+Instruction data are answers, each after its prompt: only the answer and the end bear loss, so the
+three limits are different ones. In plain documents every token bears loss.
+
+Defined results: a null text or prompt counts as the empty one; an empty document still has its end
+token, so every row has at least one piece; repeated rows are packed once each, rows without ``doc_id``
+too; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +36,9 @@ from sparkloom.llm import bpe
 from sparkloom.llm.bpe_codec import BYTE_BPE
 from sparkloom.llm.common import arrow_types, documents, text_or_empty
 
-MAX_TOKENS, MAX_SEGMENTS, END = 1024, 128, 0
+MAX_TOKENS, MAX_SEGMENTS, END = 1024, 16, 0
+#: Loss-bearing tokens of a sequence of instruction data.
+MAX_LOSS = 832
 #: Tokens of a block that is packed by itself.
 BLOCK_TOKENS = 4_000_000
 #: A sequence with less room than this stays open rather than taking a cut piece.
@@ -129,20 +135,22 @@ def pack(items: list[tuple[int, int, int]], limits: tuple[int, int, int]) -> lis
     return out
 
 
-def pack_documents(df: DataFrame, path: str | None = None, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_TOKENS, bearing: str | None = None) -> DataFrame:
-    """Pieces of all rows of ``df`` (``doc_id``, ``text``), see ``PIECES``. In plain documents every
-    token bears loss; ``sequence_id`` is unique over all tasks, ``offset`` is the place in it.
+def pack_documents(df: DataFrame, path: str | None = None, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_TOKENS, prompt: str | None = None, bearing: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pieces of all rows of ``df`` (``doc_id``, ``text``), see ``PIECES``; ``sequence_id`` is unique over
+    all tasks, ``offset`` is the place in it, ``loss_tokens`` how many of a piece's tokens bear loss.
 
-    ``bearing`` names a column with how many of a row's last tokens bear loss, the end token included
-    (an answer after its prompt); null means all, and counts are taken between none and all."""
+    ``prompt`` names a column of texts that come before; their tokens bear no loss. ``bearing`` names a
+    column with how many of a row's last tokens bear loss, the end token included; null means all that
+    aren't the prompt's, and counts are taken between none and all. Columns in ``keep`` (long) are carried along."""
     path = path or public_tokenizers.path(BYTE_BPE)
-    types = arrow_types(PIECES)
+    schema = PIECES + "".join(f", {k} long" for k in keep)
+    types = arrow_types(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = fast_encoder(path)
         end = END.to_bytes(4, "little")
         next_id = TaskContext.get().partitionId() << 40
-        ids: list[tuple[int | None, bytes, int]] = []
+        ids: list[tuple[tuple, bytes, int]] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -151,9 +159,9 @@ def pack_documents(df: DataFrame, path: str | None = None, tokens: int = MAX_TOK
             for sequence in pack([(i, len(b) // 4, bears) for i, (_, b, bears) in enumerate(ids)], (tokens, segments, loss)):
                 offset = 0
                 for item, start, size in sequence:
-                    doc, b, bears = ids[item]
+                    (doc, *kept), b, bears = ids[item]
                     used = min(size, max(0, start + size - (len(b) // 4 - bears)))
-                    rows.append((doc, start, size, zlib.crc32(b[4 * start : 4 * (start + size)]), len(b) // 4, next_id, offset, used))
+                    rows.append((doc, start, size, zlib.crc32(b[4 * start : 4 * (start + size)]), len(b) // 4, next_id, offset, used, *kept))
                     offset += size
                 next_id += 1
             ids, held = [], 0
@@ -162,18 +170,35 @@ def pack_documents(df: DataFrame, path: str | None = None, tokens: int = MAX_TOK
 
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                bears = part.column(2).to_pylist() if bearing else [None] * part.num_rows
-                for doc, b, last in zip(part.column(0).to_pylist(), enc.encode_many(part.column(1).to_pylist()), bears, strict=True):
+                doc, text, before, bears, *kept = (c.to_pylist() for c in batch.slice(first, 512).columns)
+                prompts = enc.encode_many([p or "" for p in before]) if prompt else [b""] * len(doc)
+                for row, p, b, last in zip(zip(doc, *kept, strict=True), prompts, enc.encode_many(text), bears, strict=True):
                     n = len(b) // 4 + 1
-                    ids.append((doc, b + end, n if last is None else min(max(last, 0), n)))
-                    held += len(b) // 4 + 1
+                    ids.append((row, p + b + end, n if last is None else min(max(last, 0), n + len(p) // 4)))
+                    held += len(p) // 4 + n
                 if held > BLOCK_TOKENS:
                     yield from flush()
         if ids:
             yield from flush()
 
-    return df.select("doc_id", text_or_empty().alias("text"), *([F.col(bearing).cast("long").alias("bearing")] if bearing else [])).mapInArrow(run, PIECES)
+    before = F.col(prompt) if prompt else F.lit(None).cast("string")
+    bears = (F.col(bearing) if bearing else F.lit(None)).cast("long")
+    # Named by place: columns of ``df`` may have any names.
+    columns = [F.col("doc_id").alias("c0"), text_or_empty().alias("c1"), before.alias("c2"), bears.alias("c3"), *(F.col(k).cast("long").alias(f"c{i + 4}") for i, k in enumerate(keep))]
+    return df.select(*columns).mapInArrow(run, schema)
+
+
+def pack_conversations(turns: DataFrame, path: str | None = None, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS) -> DataFrame:
+    """Pieces of all answers in ``turns`` (``conv_id``, ``turn``, ``role``, ``text``), each after the turn
+    before it, which bears no loss. ``doc_id`` is the conversation's and ``turn`` the answer's.
+
+    An answer is a row of role ``assistant``. Rows meet by conversation and turn, so that a very long
+    conversation is no group; of several rows with the same ones the least text is the prompt.
+    """
+    before = turns.where("NOT role <=> 'assistant'").groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("prompt"))
+    answers = turns.where("role = 'assistant'").select("conv_id", "turn", "text")
+    examples = answers.join(before, ["conv_id", "turn"], "left").withColumnRenamed("conv_id", "doc_id")
+    return pack_documents(examples, path, tokens, segments, loss, prompt="prompt", keep=("turn",))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
