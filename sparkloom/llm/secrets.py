@@ -9,7 +9,8 @@ candidates that touch a span of another kind.
 Places come from cutting the text at all matches: gaps and matches alternate, and their lengths add up.
 
 Defined results: a null text counts as the empty one; texts without a match have zero counts, empty
-``spans`` and the digest of the empty string; places are code points, ends exclusive.
+``spans`` and the digest of the empty string; places are code points, ends exclusive; repeated rows have
+a row each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, text_or_empty
+from sparkloom.llm.common import documents, text_or_empty, unused
 
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -39,6 +40,9 @@ ALLOW = (
 )
 #: Candidates are examined in pieces of so many windows, so that long ones take linear time.
 PIECE = 200
+#: Matches of a text are walked through in stretches of so many, so that many of them take linear time;
+#: a shorter text than would hold a stretch of the shortest matches is one.
+STRETCH, SHORTEST = 4096, 7
 REDACTED = "[SECRET]"
 
 
@@ -51,17 +55,31 @@ def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
     # One gap more than matches; the padded match at the end is no span.
     steps = F.zip_with(gaps, found, lambda gap, m: F.struct(gap.alias("gap"), m.n.alias("n"), m.ok.alias("ok")))
     empty = F.array().cast("array<struct<start:int,ord:int,end:int>>")
-    ord_ = KINDS.index(kind)
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x.gap + F.coalesce(x.n, F.lit(0))).cast("int").alias("at"),
-            F.when(x.ok, F.concat(acc.spans, F.array(F.struct((acc["at"] + x.gap).cast("int").alias("start"), F.lit(ord_).alias("ord"), (acc["at"] + x.gap + x.n).cast("int").alias("end"))))).otherwise(acc.spans).alias("spans"),
-        ),
-        lambda acc: acc.spans,
-    )
-    return F.when(F.rlike(text, F.lit(pattern)), walked).otherwise(empty)
+    ord_ = F.lit(KINDS.index(kind))
+
+    def walked(part: Column) -> Column:
+        """Length of a stretch of steps, and its spans, counted from its begin."""
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).alias("at"), empty.alias("spans")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x.gap + F.coalesce(x.n, F.lit(0))).cast("int").alias("at"),
+                F.when(x.ok, F.concat(acc.spans, F.array(F.struct((acc["at"] + x.gap).cast("int").alias("start"), ord_.alias("ord"), (acc["at"] + x.gap + x.n).cast("int").alias("end"))))).otherwise(acc.spans).alias("spans"),
+            ),
+        )
+
+    def begins(parts: Column) -> Column:
+        """Where each stretch begins."""
+        return F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array((F.element_at(acc, -1) + p["at"]).cast("int"))))
+
+    def moved(p: Column, by: Column) -> Column:
+        return F.transform(p.spans, lambda s: F.struct((s.start + by).cast("int").alias("start"), s.ord.alias("ord"), (s.end + by).cast("int").alias("end")))
+
+    # An array that grows is copied for each match, so matches are taken in stretches of a fixed number.
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STRETCH).cast("int")), lambda k: walked(F.slice(steps, k * STRETCH + 1, F.lit(STRETCH))))
+    joined = F.flatten(F.zip_with(stretches, F.slice(begins(stretches), F.lit(1), F.size(stretches)), moved))
+    few = F.length(text) < STRETCH * SHORTEST
+    return F.when(~F.rlike(text, F.lit(pattern)), empty).when(few, walked(steps).spans).otherwise(joined)
 
 
 def _weight(count: Column) -> Column:
@@ -147,7 +165,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with each secret in ``text`` replaced by ``REDACTED``; overlapping spans are replaced
     as one. Other columns, names and order stay; a null text stays null. What a candidate has besides a
     span of another kind is examined too, unlike in the query, whose SQL suppresses all of it."""
-    found = "__found"
+    found = unused(df, "found")
     t = F.col(text)
     walked = F.aggregate(
         F.col(found).all,
