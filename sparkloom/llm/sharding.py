@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.llm.common import documents, fresh_path, stored, text_or_empty
+from sparkloom.llm.common import documents, fresh_path, stored, text_or_empty, unused
 
 SLOTS, SHARDS = 4096, 16
 #: A slot of several rows over this share of all bytes is crowded; so there are fewer of them than this.
@@ -103,13 +103,14 @@ def slot_loads(rows: DataFrame) -> DataFrame:
 def place(rows: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` (with ``virtual_slot``) with ``shard``, ``map_version`` and ``slot``, the place in the
     shard, gapless from 0. Parts of slots, of a fixed number, are broadcast with the rows before them."""
-    parted = rows.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(PARTS)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("virtual_slot", "__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = parted.groupBy("virtual_slot", "__part").agg(F.count("*").alias("__n")).join(F.broadcast(slot_map.select("virtual_slot", "shard", F.col("version").alias("map_version"))), "virtual_slot")
-    offsets = counts.select("virtual_slot", "__part", "shard", "map_version", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("virtual_slot", "__part").orderBy(*order)
-    placed = parted.withColumn("__rank", F.row_number().over(within)).join(F.broadcast(offsets), ["virtual_slot", "__part"])
-    return placed.withColumn("slot", (F.col("__before") + F.col("__rank") - 1).cast("long")).drop("__before", "__rank", "__part")
+    part, n, first, rank = (unused(rows, k) for k in ("part", "n", "first", "rank"))
+    parted = rows.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(PARTS)).cast("int"))
+    before = Window.partitionBy("shard").orderBy("virtual_slot", part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = parted.groupBy("virtual_slot", part).agg(F.count("*").alias(n)).join(F.broadcast(slot_map.select("virtual_slot", "shard", F.col("version").alias("map_version"))), "virtual_slot")
+    offsets = counts.select("virtual_slot", part, "shard", "map_version", F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy("virtual_slot", part).orderBy(*order)
+    placed = parted.withColumn(rank, F.row_number().over(within)).join(F.broadcast(offsets), ["virtual_slot", part])
+    return placed.withColumn("slot", (F.col(first) + F.col(rank) - 1).cast("long")).drop(first, rank, part)
 
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,18 +11,21 @@ together, one level at a time, in numpy.
 
 A group yields the links of a spanning star for each of its components, never all pairs. Components
 over all groups follow by alternating large-star and small-star steps on tables. Block values with
-too many entries for one task are split once more by the same principle on the bits that are left
-(at most 3 differences among those 48 leave one of 4 parts alike, and so on), which is exact. Other
-distances take one part more than the distance.
+too many entries for one task are split by the same principle on the bits that are left (at most 3
+differences among those 48 leave one of 4 parts alike, and so on), again and again until none has:
+entries of a group are distinct, so there are few where few bits are left. Other distances take one
+part more than the distance.
 
 Defined results: a null text counts as the empty one; texts without words have fingerprint zero, which
 links like any other; texts with fewer words than a shingle have one shingle of all of them; equal
-and repeated rows are in one component; a component's id is its least non-null ``doc_id``.
+and repeated rows are in one component; a component's id is its least non-null ``doc_id``, null if all
+its rows lack one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, map_arrow, stored, text_or_empty
+from sparkloom.llm.common import discard, documents, map_arrow, stored, text_or_empty, unused
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Children of a node, and searches that go down together.
@@ -211,26 +214,28 @@ def _block_keys(entries: DataFrame, distance: int) -> DataFrame:
     return entries.select("fp", _parted(F.col("fp"), 64, distance + 1, F.lit(0).cast("long"), 0).alias("at")).select("at.*", "fp")
 
 
-def _refined(keys: DataFrame, distance: int, level: int, limit: int) -> DataFrame:
-    """Rows of groups over ``limit`` under parts of the bits that are left; all other rows as they are."""
-    hot = keys.groupBy("key", "bits").count().where(F.col("count") > limit).select("key", "bits", F.lit(True).alias("hot"))
-    bits = sorted(r.bits for r in hot.select("bits").distinct().collect())  # two values at most a level
-    if not bits:
-        return keys
-    marked = keys.join(hot, ["key", "bits"], "left")
-    out = marked.where("hot IS NULL").select("key", "rest", "bits", "fp")
-    for n in bits:
-        split = marked.where(F.col("hot") & (F.col("bits") == n)).select("fp", _parted(F.col("rest"), n, distance + 1, F.col("key"), level).alias("at"))
-        out = out.unionByName(split.select("at.*", "fp"))
-    return out
+def _refined(keys: DataFrame, distance: int, limit: int) -> DataFrame:
+    """``keys`` with the rows of groups over ``limit`` under parts of the bits that are left, until no group is."""
+    level, settled = 0, None
+    while True:
+        level += 1
+        # Groups of few bits are small, since their fingerprints are distinct.
+        hot = keys.where((F.col("bits") > distance) & (F.pow(F.lit(2.0), F.col("bits")) > limit)).groupBy("key", "bits").count().where(F.col("count") > limit)
+        hot = stored(hot.select("key", "bits", F.lit(True).alias("hot")), "near-hot")
+        bits = sorted(r.bits for r in hot.select("bits").distinct().collect())  # two values at most a level
+        if not bits:
+            return keys if settled is None else settled.unionByName(keys)
+        marked = keys.join(hot, ["key", "bits"], "left")
+        rest = marked.where("hot IS NULL").select("key", "rest", "bits", "fp")
+        split = [marked.where(F.col("hot") & (F.col("bits") == n)).select("fp", _parted(F.col("rest"), n, distance + 1, F.col("key"), level).alias("at")).select("at.*", "fp") for n in bits]
+        settled = rest if settled is None else settled.unionByName(rest)
+        keys = stored(reduce(DataFrame.unionByName, split), "near-parts")
 
 
 def star_links(entries: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (``fp``): for each block value, a star for each
     component of its entries. What is connected by all of them is what is connected at ``distance``."""
-    keys = _block_keys(entries, distance)
-    for level in (1, 2):
-        keys = _refined(keys, distance, level, group)
+    keys = _refined(_block_keys(entries, distance), distance, group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -286,7 +291,8 @@ def components(links: DataFrame, name: str = "op9", rounds: int | None = None) -
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.where("u <> v").distinct(), f"{name}-links")
+        passed, edges = edges, stored(small.where("u <> v").distinct(), f"{name}-links")
+        discard(passed)
         before, state = state, _state(edges)
         if state == before:
             break
@@ -578,7 +584,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int)
     return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), alike, "a long, b long", ["a", "b", "of_a", "of_b"])
 
 
-def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, coarse: int = 2, distance: int = 7, prints: int = 3, block_bytes: int = 4_000_000) -> DataFrame:
+def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, coarse: int = 2, distance: int = 7, prints: int = 3, block_bytes: int = 4_000_000, naming: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``df`` (``doc_id``, ``text``, ...) with one row of each group of near-duplicates: the one of the
     least ``doc_id``. Two texts are linked if the sets of their ``shingle``-word shingles have a Jaccard
     similarity of at least ``similarity``; groups are what links connect, and equal texts.
@@ -589,28 +595,41 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     than 12. Copies that were cut, extended or changed in one block have more, so a second pass takes all
     pairs of texts not connected yet that share a rare shingle (see ``_near_pairs``), which leaves out
     no similar pair. Links are decided on the shingle sets themselves in both.
-    Of rows alike in ``doc_id`` and text any one stays; a null ``doc_id`` comes last in its group.
+    Of rows alike in ``doc_id`` and text any one stays; a null ``doc_id`` comes last in its group. Texts
+    are named by a 64-bit hash (``naming``); where a second one shows that texts share it, all but one get
+    another name.
     """
-    d, t = F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.xxhash64(text_or_empty())
-    rows = df.select(d.alias("d"), t.alias("t"), text_or_empty().alias("text"))
+    columns, (dn, tn) = df.columns, (unused(df, k) for k in ("d", "t"))
+    d, text = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), text_or_empty()
     names = [f"fp{k}" for k in range(prints)]
 
     def block(c: dict[str, list]) -> dict[str, list]:
         hashes = [shingle_hashes(x, coarse) for x in c["text"]]
-        return {"d": c["d"], "t": c["t"], "size": [len(x) for x in c["text"]], **{n: [signed(majority(rehashed(h, k))) for h in hashes] for k, n in enumerate(names)}}
-
-    schema = ", ".join(f"{n} long" for n in ("d", "t", "size", *names))
-    printed = stored(map_arrow(rows, block, schema, ["d", "t", "text"]), "near-prints")
-    texts = stored(printed.groupBy("t").agg(F.min("d").alias("d"), F.max("size").alias("size"), *(F.min(n).alias(n) for n in names)), "near-texts")
+        return {"d": c["d"], "t": c["t"], "again": c["again"], "size": [len(x) for x in c["text"]], **{n: [signed(majority(rehashed(h, k))) for h in hashes] for k, n in enumerate(names)}}
+
+    rows = df.select(d.alias("d"), naming(text).alias("t"), F.xxhash64(F.lit(13), text).alias("again"), text.alias("text"))
+    schema = ", ".join(f"{n} long" for n in ("d", "t", "again", "size", *names))
+    printed = stored(map_arrow(rows, block, schema, ["d", "t", "again", "text"]), "near-prints")
+    every = (F.min("d").alias("d"), F.max("size").alias("size"), *(F.min(n).alias(n) for n in names))
+    texts = stored(printed.groupBy("t").agg(*every, F.min("again").alias("one"), F.max("again").alias("other")), "near-texts")
+    named, shared = df.select("*", d.alias(dn), naming(text).alias(tn)), texts.where("one <> other")
+    if not shared.isEmpty():
+        fresh = lambda one, again, t: F.when(F.col(one) < F.col(again), F.xxhash64(again, t)).otherwise(F.col(t))
+        renamed = lambda x: x.join(shared.select("t", "one"), "t", "left").withColumn("t", fresh("one", "again", "t")).drop("one")
+        again, one = unused(named, "again"), unused(named, "one")
+        keys = shared.select(F.col("t").alias(tn), F.col("one").alias(one))
+        named = named.withColumn(again, F.xxhash64(F.lit(13), text)).join(keys, tn, "left").withColumn(tn, fresh(one, again, tn)).drop(again, one)
+        rows = renamed(rows)
+        texts = stored(renamed(printed).groupBy("t").agg(*every), "near-texts")
+    rows = rows.drop("again")
     members = stored(texts.select("t", "d", "size").join(_families(texts, prints, distance), "t"), "near-members")
     links = components(_verified(members, rows, similarity, shingle, block_bytes), "near")
     placed = lambda found: texts.join(found.withColumnRenamed("node", "t"), "t", "left").select("t", "d", F.coalesce("root", "t").alias("root"))
     pairs = stored(_near_pairs(rows, placed(links).select("t", "root"), similarity, shingle), "near-pairs")
     links = links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(pairs, rows, similarity, shingle))
     placed = placed(components(links, "near"))
-    first = placed.groupBy("root").agg(F.min(F.struct("d", "t")).alias("kept")).select("kept.d", "kept.t")
-    named = df.withColumns({"__d": d, "__t": t})
-    return named.join(first.select(F.col("d").alias("__d"), F.col("t").alias("__t")), ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"]).select(*df.columns)
+    first = placed.groupBy("root").agg(F.min(F.struct("d", "t")).alias("kept")).select(F.col("kept.d").alias(dn), F.col("kept.t").alias(tn))
+    return named.join(first, [dn, tn], "left_semi").dropDuplicates([dn, tn]).select(*columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
