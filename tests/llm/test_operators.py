@@ -1,6 +1,7 @@
 """Each operator's query against a brute-force version, on tricky rows and on a small real table."""
 
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -12,6 +13,7 @@ import public_tokenizers
 import pyarrow.dataset as ds
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql.functions import expr
 from tokenizers import Tokenizer
 
@@ -181,6 +183,54 @@ def one_block(block):
     return out
 
 
+def test_media_bytes_and_features(spark, folder):
+    """The container written field by field, and each feature from samples computed one at a time."""
+
+    def mu(b):
+        u = ~b & 255
+        size = ((((u & 15) * 2 + 33) << (u >> 4 & 7)) - 33) * 4
+        return -size if u & 128 else size
+
+    def alaw(b):
+        x = b ^ 0x55
+        e, m = x >> 4 & 7, x & 15
+        size = (m * 2 + 1) * 8 if e == 0 else (m * 2 + 33) * 8 << (e - 1)
+        return size if x & 128 else -size
+
+    mus, alaws = [mu(b) for b in range(256)], [alaw(b) for b in range(256)]
+    rms = lambda xs: math.sqrt(sum(x * x for x in xs) / len(xs))
+    rows = {r[3]: r for r in got(spark, "op2_telephony", folder)}
+    seen = 0
+    for _, text in table(folder):
+        raw = (text or "").encode()
+        if len(raw) > 30_000:
+            continue
+        payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        r = rows[hashlib.sha256(payload).hexdigest()]
+        field = lambda n, v: v.to_bytes(n, "little")
+        body = b"WAVEfmt " + field(4, 18) + field(2, 7) + field(2, 1) + field(4, 8000) + field(4, 8000) + field(2, 1) + field(2, 8) + field(2, 0)
+        body += b"fact" + field(4, 4) + field(4, len(payload)) + b"data" + field(4, len(payload)) + payload
+        media = b"RIFF" + field(4, len(body)) + body
+        assert (r[5], r[6]) == (len(media), hashlib.sha256(media).hexdigest())
+        feature = json.loads(r[7])
+        x = [mus[b] for b in payload]
+        ima = [v for k in range(0, len(payload), 192) for v in one_block(payload[k : k + 192])]
+        pcm = [v for a, b in zip(x, [*x[1:], x[-1]], strict=True) for v in (a, (a + b) >> 1)]
+        stored = b"".join(v.to_bytes(2, "little", signed=True) for v in pcm)
+        assert feature["pcm16k_crc32"] == zlib.crc32(stored) and feature["pcm16k_bytes"] == len(stored)
+        assert feature["crossings"] == sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        for name, samples in (("mulaw_rms", x), ("alaw_rms", [alaws[b] for b in payload]), ("ima_rms", ima)):
+            assert feature[name] == pytest.approx(rms(samples), abs=0.002)
+        seen += 1
+    assert seen > 15
+
+
+def test_pcm_is_stored(spark, sf):
+    table = telephony.media_table(spark.read.parquet(f"{sf}/documents.parquet").limit(5))
+    for r in table.collect():
+        assert len(r.pcm) == 4 * r.payload_bytes
+
+
 def test_adpcm():
     rng = np.random.default_rng(0)
     blocks = rng.integers(0, 256, (5, 192)).astype(np.uint8)
@@ -626,6 +676,76 @@ def test_near_duplicates_keep_one_of_equal_rows(spark):
     assert all(tuple(r) in rows for r in kept)
 
 
+def test_texts_that_share_a_name(spark):
+    """Texts whose hashes are alike by chance are told apart, and near copies among them found."""
+    rows = block_copies()[:60]
+    df = spark.createDataFrame([*rows, (None, rows[3][1]), (7, rows[7][1])], "doc_id long, text string")
+    want = sorted(r.doc_id for r in simhash.keep_one_of_near(df).collect())
+    few = simhash.keep_one_of_near(df, naming=lambda c: F.pmod(F.length(c), F.lit(4)).cast("long")).collect()
+    assert sorted(r.doc_id for r in few) == want
+
+
+def test_components_of_components_end_in_small_groups(spark):
+    """Fingerprints that share nearly all bits: groups are split more than twice."""
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, 1 << 14, 3000, dtype=np.uint64) << np.uint64(3))
+    df = spark.createDataFrame([(simhash.signed(int(c)),) for c in codes], "fp long")
+    keys = simhash._refined(simhash._block_keys(df, 3), 3, 100)
+    assert keys.groupBy("key", "bits").count().agg(F.max("count")).first()[0] <= 2**11
+    assert min(r.bits for r in keys.select("bits").distinct().collect()) < 27
+    root = {r.node: r.root for r in simhash.components(simhash.star_links(df, 3, group=100)).collect()}
+    label = united(codes, 3)
+    found, groups = defaultdict(set), defaultdict(set)
+    for c, x in zip(codes.tolist(), label.tolist(), strict=True):
+        groups[x].add(c)
+        found[root.get(c, c)].add(c)
+    assert key(map(sorted, groups.values())) == key(map(sorted, found.values()))
+
+
+def test_secrets_of_very_many_matches(spark):
+    """More matches than a stretch holds, in one text, against their places by a search."""
+    lines = [f"token: abc{k:07d} {k * 7919 % 10**6:024x} é" if k % 3 else "plain words" for k in range(20_000)]
+    text = "\n".join(lines)
+    df = spark.createDataFrame([(1, text), (2, "token: abc1234")], "doc_id long, text string")
+    out = {r.doc_id: r.found.base for r in secrets.scanned(df).collect()}
+    want = [(m.start(), 0, m.end()) for m in re.finditer(r"token: [a-z0-9]+", text)] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert [tuple(s) for s in out[1]] == sorted(want) and [tuple(s) for s in out[2]] == [(0, 0, 14)]
+
+
+def test_packing_limits_all_bind(spark, sf):
+    """Answers of conversations after their prompts: each of the three limits changes the result when lifted."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    turns = turns.unionByName(spark.createDataFrame([(None, 1, "assistant", "no id"), (10**6, 0, None, "odd role"), (10**6, 1, "assistant", None), (10**6, 1, "assistant", "twice"), (10**6, 0, "user", "a second prompt")], turns.schema))
+    packed = lambda **limits: packing.pack_conversations(turns.coalesce(1), **limits).collect()
+    rows = packed(segments=3, loss=800)
+    enc = packing.fast_encoder(public_tokenizers.path(packing.BYTE_BPE))
+    size = lambda t: len(enc.encode_many([t or ""])[0]) // 4
+    asked = defaultdict(list)
+    for r in turns.collect():
+        if r.role != "assistant":
+            asked[r.conv_id, r.turn + 1].append(r.text or "")
+    want = Counter()
+    for r in turns.collect():
+        if r.role == "assistant":
+            prompt = min(asked.get((r.conv_id, r.turn), [""])) if r.conv_id is not None else ""
+            want[r.conv_id, r.turn, size(prompt) + size(r.text) + 1, size(r.text) + 1] += 1
+    examples, sequences = defaultdict(list), defaultdict(list)
+    for p in rows:
+        examples[p.doc_id, p.turn, p.doc_tokens].append(p)
+        sequences[p.sequence_id].append(p)
+    found = Counter()
+    for (conv, turn, tokens), pieces in examples.items():
+        assert sum(p.length for p in pieces) % tokens == 0
+        found[conv, turn, tokens] += sum(p.length for p in pieces) // tokens
+    assert found == Counter({k[:3]: sum(n for w, n in want.items() if w[:3] == k[:3]) for k in want})
+    assert sum(p.loss_tokens for p in rows) == sum(k[3] * n for k, n in want.items())
+    for s in sequences.values():
+        assert sum(p.length for p in s) <= 1024 and len(s) <= 3 and sum(p.loss_tokens for p in s) <= 800
+    shape = lambda rows: sorted((p.sequence_id, p.offset, str(p.doc_id), p.turn, p.start, p.length) for p in rows)
+    shapes = [shape(rows), shape(packed(segments=10**9, loss=800)), shape(packed(segments=3, loss=10**9)), shape(packed(segments=3, loss=800, tokens=10**6))]
+    assert all(s != shapes[0] for s in shapes[1:])
+
+
 def test_redaction_of_the_rest_of_a_candidate(spark):
     """A secret that hangs on one of another kind goes as well; so do both parts around one."""
     secret = "wJ4lrXUtn7EMIaK7MDENGbPxRfiCYzq83Lk0Vb2N"
