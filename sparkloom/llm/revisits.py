@@ -5,15 +5,18 @@ revisit is matched, as of its time, with the latest earlier full response of the
 If the validators agree (entity tags by weak comparison, else modification times), the response's
 headers are taken, overlaid with those that a 304 answer may update; otherwise nothing is merged.
 
-The as-of join shuffles no payloads: records are narrow until the sources are known. It has two
-levels, so that a URL with very many captures is no single group: within each span of time by a
-window, and from one span to the next by the last response of each span.
+The as-of join shuffles no payloads: records are narrow until the sources are known. Times are matched,
+not records: of the responses of a URL at one second one counts, and its revisits at one second have
+the same source. It has two levels, so that a URL with very many captures is no single group: within
+each span of time by a window, over two rows a second at most, and from one span to the next by the
+last response of each span.
 
 Defined results, in ``status``: ``resolved``; ``mismatch`` (validators differ); ``unvalidated`` (no validator
-on both sides); ``missing`` (no earlier response, or a null URL or time, which match nothing). Of
-responses at the same time the one of the greatest ``record_id`` counts; a response at the revisit's
-own time is not earlier. Null headers count as none; header names are compared in lower case, the last
-of equal names wins. Repeated revisits are resolved alike, each in its own row.
+on both sides); ``missing`` (no earlier response, or no URL or time, which match nothing: null, or a URL
+whose canonical form is empty). Of responses at the same time the one of the greatest ``record_id``
+counts; a response at the revisit's own time is not earlier. Null headers count as none; header names
+are compared in lower case, the last of equal names wins. Repeated revisits are resolved alike, each in
+its own row; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,20 +28,20 @@ from pyspark.sql.window import Window
 #: Headers that a 304 answer may update in the stored response.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "warning")
 #: Query parameters that do not name another page.
-TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
+TRACKING = r"^(utm_[^=]*|fbclid|gclid)(=|$)"
 #: Seconds of a span of the two-level join.
 SPAN = 86_400
 
 
 def canonical_url(url: Column) -> Column:
     """Without scheme, fragment, ``www.``, default port, closing slashes and tracking parameters; host
-    in lower case, parameters in order."""
+    in lower case, parameters in order; null where nothing is left."""
     rest = F.regexp_replace(F.regexp_replace(url, r"#[\s\S]*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     base = F.regexp_extract(rest, r"^([^?]*)", 1)
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(base, r"^([^/]*)", 1)), r":(80|443)$", ""), r"^www\.", "")
     path = F.regexp_replace(F.regexp_extract(base, r"^[^/]*(/[\s\S]*)$", 1), r"/+$", "")
     params = F.array_sort(F.filter(F.split(F.regexp_extract(rest, r"\?([\s\S]*)$", 1), "&", -1), lambda p: (p != "") & ~F.rlike(p, F.lit(TRACKING))))
-    return F.concat(host, path, F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise(F.lit("")))
+    return F.nullif(F.concat(host, path, F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise(F.lit(""))), F.lit(""))
 
 
 def _lowered(headers: Column) -> Column:
@@ -60,17 +63,21 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     keyed = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "ts", F.col("kind") == "revisit", h.alias("headers"))
     keyed = keyed.toDF("record_id", "canonical", "ts", "revisit", "headers").withColumn("span", F.floor(F.col("ts") / span))
     lost = keyed.where(F.col("canonical").isNull() | F.col("ts").isNull()).where("revisit")
-    full = F.when(~F.col("revisit"), F.struct("ts", "record_id", "headers"))
-    whole = keyed.where(F.col("canonical").isNotNull() & F.col("ts").isNotNull()).withColumn("full", full)
+    whole = keyed.where(F.col("canonical").isNotNull() & F.col("ts").isNotNull())
+    asks = whole.where("revisit")
+    full = whole.where("NOT revisit").groupBy("canonical", "span", "ts").agg(F.max_by(F.struct("ts", "record_id", "headers"), "record_id").alias("full"))
     # The last response of each span; maps are no part of the order.
-    last = whole.where("NOT revisit").groupBy("canonical", "span").agg(F.max_by("full", F.struct("ts", "record_id")).alias("last"))
-    marks = whole.where("revisit").select("canonical", "span").distinct().join(last, ["canonical", "span"], "full_outer")
+    last = full.groupBy("canonical", "span").agg(F.max_by("full", "ts").alias("last"))
+    times = asks.select("canonical", "span", "ts").distinct()
+    marks = times.select("canonical", "span").distinct().join(last, ["canonical", "span"], "full_outer")
     before = Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     carried = marks.select("canonical", "span", F.last("last", ignorenulls=True).over(before).alias("carried"))
     # At equal times a revisit comes first: only strictly earlier responses count.
-    within = Window.partitionBy("canonical", "span").orderBy("ts", F.col("revisit").desc(), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = whole.withColumn("seen", F.last("full", ignorenulls=True).over(within)).where("revisit")
-    found = seen.join(carried, ["canonical", "span"], "left").withColumn("source", F.coalesce("seen", "carried"))
+    both = full.withColumn("asked", F.lit(False)).unionByName(times.withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    within = Window.partitionBy("canonical", "span").orderBy("ts", F.col("asked").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("seen", F.last("full", ignorenulls=True).over(within)).where("asked")
+    sources = seen.join(carried, ["canonical", "span"], "left").select("canonical", "ts", F.coalesce("seen", "carried").alias("source"))
+    found = asks.join(sources, ["canonical", "ts"], "left")
     none = lost.withColumn("source", F.lit(None).cast(found.schema["source"].dataType))
     columns = ["record_id", "canonical", "ts", "headers", "source"]
     every = found.select(*columns).unionByName(none.select(*columns))
@@ -124,7 +131,7 @@ ORACLE_SQL = {
   regexp_replace(regexp_replace(url, '#[\s\S]*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
 cut AS (SELECT *, regexp_extract(rest, '^([^?]*)', 1) AS base, list_sort(list_filter(string_split(regexp_extract(rest, '\?([\s\S]*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{TRACKING}'))) AS params FROM p),
 c AS (SELECT page_id, ts, later, body, CASE WHEN page_id % 10 <> 0 THEN md5(body) END AS tag,
-  regexp_replace(regexp_replace(lower(regexp_extract(base, '^([^/]*)', 1)), ':(80|443)$', ''), '^www\.', '') || regexp_replace(regexp_extract(base, '^[^/]*(/[\s\S]*)$', 1), '/+$', '') || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical FROM cut),
+  nullif(regexp_replace(regexp_replace(lower(regexp_extract(base, '^([^/]*)', 1)), ':(80|443)$', ''), '^www\.', '') || regexp_replace(regexp_extract(base, '^[^/]*(/[\s\S]*)$', 1), '/+$', '') || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END, '') AS canonical FROM cut),
 j AS (SELECT r.page_id, r.canonical, r.later, r.tag, r.ts AS own, f.page_id AS source, f.ts AS source_ts, f.tag AS source_tag, f.body,
   CASE WHEN f.page_id IS NULL THEN 'missing' WHEN r.tag IS NOT NULL AND f.tag IS NOT NULL THEN CASE WHEN r.tag = f.tag THEN 'resolved' ELSE 'mismatch' END WHEN r.ts = f.ts THEN 'resolved' ELSE 'mismatch' END AS status
   FROM c r ASOF LEFT JOIN c f ON r.canonical = f.canonical AND r.later > f.ts)

@@ -17,7 +17,7 @@ def canonical(spark, *urls):
 
 def test_canonical_url(spark):
     got = canonical(spark, "HTTP://WWW.Example.com:80/a/b/?b=2&utm_source=x&a=1#f", "https://example.com/a/b?a=1&b=2", "example.com", "http://example.com/?ref=z", "http://h.org/A?q", None, "")
-    assert got == ["example.com/a/b?a=1&b=2", "example.com/a/b?a=1&b=2", "example.com", "example.com", "h.org/A?q", None, ""]
+    assert got == ["example.com/a/b?a=1&b=2", "example.com/a/b?a=1&b=2", "example.com", "example.com?ref=z", "h.org/A?q", None, None]
 
 
 def records(n=600):
@@ -75,6 +75,12 @@ def test_empty_and_repeated(spark):
     assert [(r.source_id, r.status, r.merged) for r in out] == [(1, "resolved", {"etag": "W/u"})] * 2
 
 
+def test_empty_addresses_match_nothing(spark):
+    rows = [(1, "", 1, "response", {"etag": "t"}), (2, "http://", 2, "revisit", {"etag": "t"}), (3, "https://www./#x", 3, "revisit", {"etag": "t"})]
+    out = revisits.resolve(spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, headers map<string,string>")).collect()
+    assert sorted((r.record_id, r.status, r.source_id) for r in out) == [(2, "missing", None), (3, "missing", None)]
+
+
 def test_payload(spark):
     df = spark.createDataFrame([(1, "a.org", 1, "response", {"etag": "t"}, b"body"), (2, "a.org", 2, "revisit", {"etag": "t"}, None), (3, "b.org", 2, "revisit", {}, None)], "record_id long, url string, ts long, kind string, headers map<string,string>, payload binary")
     out = {r.record_id: r.payload for r in revisits.with_payload(revisits.resolve(df), df).collect()}
