@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators.access import unused
-from sparkloom.sources.shared import discard, fresh_path, shared_dir, stored
+from sparkloom.sources.shared import discard, fresh_path, scratch, shared_dir, stored
 
-__all__ = ["arrow_types", "discard", "documents", "fresh_path", "map_arrow", "shared_dir", "stored", "text_or_empty", "unused"]
+__all__ = ["arrow_types", "discard", "documents", "fresh_path", "map_arrow", "scratch", "shared_dir", "stored", "text_or_empty", "unused"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,6 +271,21 @@ def measured(text):
     return out, shares
 
 
+def verdict(text):
+    """Whether a text stays, by shares counted here and the documented limits."""
+    (n, chars, symbols, _, repeated), shares = measured(text)
+    seen, doubled = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            doubled += sum(map(len, WORD.findall(line))) if line in seen else 0
+            seen.add(line)
+    short = min(1, 300 / max(n, 1))
+    limits = {5: (0.15, 0.40), 6: (0.14, 0.38), 7: (0.13, 0.36), 8: (0.12, 0.34), 9: (0.11, 0.32), 10: (0.10, 0.30)}
+    if n < 50 or 100 * repeated > 50 * n or symbols > 0.1 * n or doubled / max(chars, 1) > max(0.20, 0.25 * short):
+        return False
+    return all(shares[f"share_{k}"] <= max(long, least * short) for k, (long, least) in limits.items())
+
+
 def test_repetition(spark, folder):
     data = table(folder)
     rows = {(r[0], tuple(r[1:6])): r for r in got(spark, "op5_repetition", folder)}
@@ -278,12 +293,22 @@ def test_repetition(spark, folder):
         base, shares = measured(text)
         r = rows[i, tuple(base)]
         failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
-        assert r[-2] == failed and not (failed and r[-1])
+        assert r[-2] == failed and r[-1] == verdict(text)
         m = repetition.measure(text or "")
         for name, share in shares.items():
             assert m[name] == pytest.approx(share)
 
 
+def test_repetition_on_labels(spark):
+    """The limits tell labelled documents apart: all of poor quality go, all others that pass the base rule stay."""
+    folder = "/root/testdata/sf0.01"
+    kept = {r.doc_id: (r.base_failed, r.kept) for r in registry.queries()["op5_repetition"](spark, folder).collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    assert not [r.doc_id for r in labels if not r.quality and kept[r.doc_id][1]]
+    assert not [r.doc_id for r in labels if r.quality and kept[r.doc_id] == (False, False)]
+    assert len(labels) > 300
+
+
 # 1
 
 

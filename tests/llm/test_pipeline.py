@@ -1,13 +1,16 @@
 """Each stage of the pipeline against a brute-force version, on a small real table and tricky rows."""
 
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 import pytest
-from test_operators import WORD, lowered, measured, spans
+from test_operators import BPE, WORD, lowered, spans, verdict
+from tokenizers import Tokenizer
 
-from sparkloom.llm import repetition, secrets
+from sparkloom.llm import secrets
 
 
 @pytest.fixture(scope="module", params=["sf", "odd"])
@@ -22,15 +25,11 @@ def stages(request, spark):
 
 
 def ids(rows):
-    return sorted((r.doc_id, r.text) for r in rows if r.doc_id is not None)
+    return sorted(((r.doc_id, r.text) for r in rows), key=repr)
 
 
 def test_quality(stages):
-    want = []
-    for r in stages[0]:
-        base, _ = measured(r.text)
-        if base[0] >= 50 and 100 * base[4] <= 50 * base[0] and repetition.judged(repetition.measure(r.text or ""))[1]:
-            want.append(r)
+    want = [r for r in stages[0] if verdict(r.text)]
     assert ids(stages[1]) == ids(want) and stages[1][0].__fields__ == stages[0][0].__fields__
 
 
@@ -52,13 +51,14 @@ def test_near_duplicates(stages):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if rows[a].text == rows[b].text or (both and both >= 0.8 * len(sets[a] | sets[b])):
+            if (rows[a].text or "") == (rows[b].text or "") or (both and both >= 0.8 * len(sets[a] | sets[b])):
                 root[max(find(a), find(b))] = min(find(a), find(b))
     first = {}
     for k, r in enumerate(rows):
         x = find(k)
         if x not in first or (r.doc_id is not None and (first[x] is None or r.doc_id < first[x])):
             first[x] = r.doc_id
+    assert len(stages[2]) == len(first)
     assert sorted(i for i in {r.doc_id for r in stages[2]} if i is not None) == sorted(i for i in first.values() if i is not None)
 
 
@@ -93,7 +93,34 @@ def test_secrets(stages):
 
 
 def test_packing(stages):
-    assert {r.doc_id for r in stages[5]} == {r.doc_id for r in stages[4]}
+    """Every token of every text is in one piece, and no sequence holds more than the limits."""
+    t = Tokenizer.from_file(BPE)
+    want = Counter()
+    for r in stages[4]:
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want[r.doc_id, len(ids), np.array(ids, "<u4").tobytes()] += 1
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for p in stages[5]:
+        pieces[p.doc_id, p.doc_tokens].append(p)
+        sequences[p.sequence_id].append(p)
+    for (doc, n, packed), times in want.items():
+        own = pieces[doc, n]
+        assert sum(p.length for p in own) == n * sum(c for (d, m, _), c in want.items() if (d, m) == (doc, n))
+        if times == 1 and sum((d, m) == (doc, n) for d, m, _ in want) == 1:
+            at = 0
+            for p in sorted(own, key=lambda p: p.start):
+                assert p.start == at and p.ids_crc32 == zlib.crc32(packed[4 * at : 4 * (at + p.length)])
+                at += p.length
+            assert at == n
+    assert set(pieces) == {k[:2] for k in want}
+    for s in sequences.values():
+        assert len(s) <= 16 and [p.offset for p in sorted(s, key=lambda p: p.offset)] == [sum(q.length for q in s if q.offset < p.offset) for p in sorted(s, key=lambda p: p.offset)]
+        assert sum(p.length for p in s) <= 1024
+
+
+def test_empty_table(spark, empty):
+    """No stage needs a row."""
+    assert corpus_pipeline.run(spark, empty).count() == 0
 
 
 def test_no_stage_swallows_imports():
