@@ -1,8 +1,15 @@
 """Cleaning and packing of ``documents``: five stages, each on all that the one before has kept.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes each stage's result
-as Parquet in the shared folder and reads it back as the next one's ``docs``. All but the last stage
-return the columns of ``documents``.
+as Parquet in the shared folder and reads it back as the next one's ``docs``, and removes what the stage
+itself had written there. All but the last stage return the columns of ``documents``.
+
+Defined results: a null text counts as the empty one, which the quality rules reject. Rows without
+``doc_id`` take part like others; of near-duplicates the row of the least ``doc_id`` stays, one without
+id only where none has any. Of rows alike in id and text one stays. Columns of any names are carried
+through unchanged, but for ``text`` and, where a stage cuts texts, ``n_chars``. An empty table gives no
+pieces. Texts may be of any length; ties in what a stage decides by have no bearing on its result, but
+for the layout of pieces in sequences.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import packing, repetition, secrets, simhash, suffixes
-from sparkloom.llm.common import documents, stored
+from sparkloom.llm.common import documents, scratch, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +61,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        kept = []
+        with scratch(spark, kept):
+            docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            kept.append(docs)
     return docs
