@@ -29,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,10 @@ ROOM = 1_000_000
 #: One in so many texts tells which shingles are common: those that so many of them have. Texts of a
 #: shingle that meet in a task, at about.
 SAMPLE, COMMON, MEET = 16, 4, 2000
+#: Central texts of a large family with which all others are compared.
+PIVOTS = 8
+#: Common shingles that are kept, and sent to all tasks, at most; a step of sizes (log2) in which their texts meet.
+COMMON_MOST, STEP = 200_000, 0.07
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -357,27 +362,26 @@ class _Family:
         return root
 
 
-def _verified(members: DataFrame, rows: DataFrame, similarity: float, shingle: int, block_bytes: int) -> DataFrame:
-    """``a, b``: stars of texts within candidate families that are connected by similar pairs.
-
-    ``members``: ``t, doc_id, family``. A family whose texts are too many bytes for one task is dealt
-    into blocks, and each two of its blocks meet in a task of their own, so that every pair is compared.
-    """
-    blocks = members.groupBy("family").agg(F.ceil(F.sum("size") / block_bytes).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "family").withColumn("mine", F.pmod(F.xxhash64("t", F.lit(7)), F.col("blocks")).cast("int"))
-    wanted = dealt.select("t", "d", "family", "mine", "blocks")
-    texts = rows.select("t", "d", "text").join(wanted.hint("shuffle_hash"), ["t", "d"]).select("t", "family", "mine", "blocks", "text")
+def _shingled(members: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """``t, family, shingles``: the shingle set of each member (``t, d, family``), from its row's text."""
+    texts = rows.select("t", "d", "text").join(members.select("t", "d", "family").hint("shuffle_hash"), ["t", "d"])
 
     def block(c: dict[str, list]) -> dict[str, list]:
-        sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in c.pop("text")]
-        return {**c, "shingles": sets}
+        return {"t": c["t"], "family": c["family"], "shingles": [np.unique(shingle_hashes(x, shingle)).tobytes() for x in c["text"]]}
+
+    return map_arrow(texts, block, "t long, family long, shingles binary", ["t", "family", "text"])
 
-    sets = map_arrow(texts, block, "t long, family long, mine int, blocks int, shingles binary", ["t", "family", "mine", "blocks", "text"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    meeting = sets.select("t", "family", "mine", other, "shingles").select("t", F.xxhash64("family", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "shingles")
+
+def _verified(members: DataFrame, rows: DataFrame, similarity: float, shingle: int, family_bytes: int) -> DataFrame:
+    """``a, b``: links between similar texts within candidate families (``members``: ``t, d, size, fp,
+    family``). In a family that fits a task all texts that are connected by similar pairs are; texts of a
+    larger one are linked with its central texts only, and the other pairs are left to ``_near_pairs``."""
+    large = members.groupBy("family").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > family_bytes).select("family")
+    large = stored(large, "near-large")
+    inside = _shingled(members.join(large, "family", "left_anti"), rows, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, held = None, []
+        family, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
             root = _Family([s for _, s in held]).roots(similarity)
@@ -387,16 +391,55 @@ def _verified(members: DataFrame, rows: DataFrame, similarity: float, shingle: i
                 yield pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(ids[root[away]])], names=["a", "b"])
 
         for batch in batches:
-            for key, t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if key != task:
+            for key, t, s in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if key != family:
                     if len(held) > 1:
                         yield from flush()
-                    task, held = key, []
-                held.append((t, np.frombuffer(s, np.uint64)))
+                    family, held = key, []
+                if not held or held[-1][0] != t:  # rows alike in id and text are one
+                    held.append((t, np.frombuffer(s, np.uint64)))
         if len(held) > 1:
             yield from flush()
 
-    return meeting.select("task", "t", "shingles").repartition("task").sortWithinPartitions("task", "t").mapInArrow(run, "a long, b long")
+    links = inside.select("family", "t", "shingles").repartition("family").sortWithinPartitions("family", "t").mapInArrow(run, "a long, b long")
+    if large.isEmpty():
+        return links
+    return links.unionByName(_central(members.join(large, "family", "left_semi"), rows, similarity, shingle))
+
+
+def _central(members: DataFrame, rows: DataFrame, similarity: float, shingle: int, pivots: int = PIVOTS) -> DataFrame:
+    """``a, b``: links of members with up to ``pivots`` texts of their family, those whose fingerprints are
+    the nearest to the majority of the family's bits."""
+    members = stored(members, "near-large-members")
+    bit = lambda i: F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1).cast("long"))
+    sums = members.groupBy("family").agg(F.count("*").alias("n"), *(F.sum(bit(i)).alias(f"b{i}") for i in range(64)))
+    parts = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(signed(1 << i))).otherwise(F.lit(0).cast("long")) for i in range(64)]
+    middle = sums.select("family", reduce(lambda a, b: a.bitwiseOR(b), parts).alias("middle"))
+    far = members.join(middle, "family").withColumn("far", F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))))
+    nearest = far.groupBy("family").agg(F.array_distinct(F.array(*(F.min(F.struct("far", F.xxhash64("t", F.lit(i)).alias("h"), "t"))["t"] for i in range(pivots)))).alias("ts"))
+    sets = stored(_shingled(members, rows, shingle).dropDuplicates(["t"]), "near-large-sets")
+    chosen = sets.join(nearest.select("family", F.explode("ts").alias("t")), ["family", "t"], "left_semi")
+    chosen = chosen.groupBy("family").agg(F.collect_list(F.struct("t", "shingles")).alias("chosen"))  # as many as ``pivots``
+
+    def block(c: dict[str, list]) -> dict[str, list]:
+        a, b = [], []
+        for t, own, others in zip(c["t"], c["shingles"], c["chosen"], strict=True):
+            own = np.frombuffer(own, np.uint64)
+            for other in others:
+                if other["t"] != t and _like(own, np.frombuffer(other["shingles"], np.uint64), similarity):
+                    a.append(t)
+                    b.append(other["t"])
+        return {"a": a, "b": b}
+
+    return map_arrow(sets.join(chosen, "family"), block, "a long, b long", ["t", "shingles", "chosen"], rows=64)
+
+
+def _like(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted, distinct) are at least so similar; empty ones are not."""
+    if not len(x) or not len(y) or min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
 
 
 def _families(texts: DataFrame, prints: int, distance: int) -> DataFrame:
@@ -430,24 +473,77 @@ def _prefix(h: np.ndarray, similarity: float, common: np.ndarray, count: np.ndar
     return h[:size] if n else h
 
 
-def _common_shingles(rows: DataFrame, shingle: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of one in ``sample`` texts have, sorted, and in how many of those. This
-    decides how much is compared, not what is found."""
+def _common_shingles(rows: DataFrame, shingle: int, sample: int, most: int = COMMON_MOST) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of one in ``sample`` texts have, sorted, and in how many of those: at most
+    ``most``, the most common ones, all from a least class of counts up. This decides how much is
+    compared, not what is found."""
 
     def block(c: dict[str, list]) -> dict[str, list]:
         sets = [np.unique(shingle_hashes(x, shingle)) for x in c["text"]]
         return {"shingle": np.concatenate(sets).view(np.int64) if sets else []}
 
     taken = rows.where(F.pmod(F.xxhash64("t", F.lit(11)), F.lit(sample)) == 0).dropDuplicates(["t"])
-    found = map_arrow(taken, block, "shingle long", ["text"]).groupBy("shingle").count().where(F.col("count") >= COMMON).toArrow()
-    values, count = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    counted = map_arrow(taken, block, "shingle long", ["text"]).groupBy("shingle").count().where(F.col("count") >= COMMON)
+    found = stored(counted.withColumn("class", F.floor(F.log2("count") * 16).cast("int")), "near-common")
+    least, sum_ = None, 0
+    for r in sorted(found.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):  # few classes
+        sum_ += r.n
+        if sum_ > most:
+            break
+        least = r["class"]
+    chosen = found.where(F.col("class") >= least if least is not None else F.lit(False)).select("shingle", "count").toArrow()
+    discard(found)
+    values, count = chosen.column(0).to_numpy().view(np.uint64), chosen.column(1).to_numpy()
     order = np.argsort(values)
     return values[order], count[order]
 
 
-def _alike_sizes(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of sizes ``a`` and ``b`` can be alike if these places hold the first element that they share."""
-    return 1 + np.minimum(a - at_a, b - at_b) - 1 >= similarity / (1 + similarity) * (a + b) - 1e-6
+def _size_range(n: np.ndarray, place: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest size of a set that can be like one of ``n`` elements, if the element at ``place``
+    is the first that both have: n - place and all of the other's at most are shared."""
+    low = np.ceil(similarity * n - 1e-6).astype(np.int64)
+    high = np.floor((n - place) * (1 + similarity) / similarity - n + 1e-6).astype(np.int64)
+    return low, high
+
+
+def _meetings(key: np.ndarray, t: np.ndarray, root: np.ndarray, rank: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float, probes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of texts of one ``key`` and different roots whose sizes and places allow that they are alike,
+    in blocks. The text of the lesser root (by ``rank``, its number of texts) looks for the other one among
+    the sizes that it allows, so texts of a large root don't look for each other. With ``probes``, only
+    those that it marks look, and only for the others."""
+    order = np.lexsort((n, key))
+    key, t, root, rank, n, place = (x[order] for x in (key, t, root, rank, n, place))
+    ahead = np.lexsort((root, rank))
+    new = np.concatenate([[False], (rank[ahead][1:] != rank[ahead][:-1]) | (root[ahead][1:] != root[ahead][:-1])])
+    level = np.empty(len(t), np.int64)
+    level[ahead] = np.cumsum(new)
+    start = np.concatenate([[True], key[1:] != key[:-1]])
+    group = np.cumsum(start) - 1
+    top = np.maximum.reduceat(level, np.flatnonzero(start))[group]
+    low, high = _size_range(n, place, similarity)
+    look = (level < top) & (high >= low)
+    if probes is not None:
+        probes = probes[order]
+        look = probes & (high >= low)
+    at = np.flatnonzero(look)
+    line = group << 32 | n.astype(np.int64)
+    first = np.searchsorted(line, group[at] << 32 | low[at], "left")
+    last = np.searchsorted(line, group[at] << 32 | np.minimum(high[at], (1 << 32) - 1), "right")
+    many = np.maximum(last - first, 0)
+    ends = np.cumsum(many)
+    done = 0
+    while done < len(at):
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + ROOM, "right")))
+        part = slice(done, upto)
+        count = many[part]
+        a = np.repeat(at[part], count)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[part], count)
+        ok = (level[a] < level[b]) & (n[a] <= high[b])
+        if probes is not None:
+            ok &= ~probes[b]
+        if ok.any():
+            yield t[a[ok]], t[b[ok]]
+        done = upto
 
 
 def _part(h: np.ndarray) -> np.ndarray:
@@ -466,9 +562,9 @@ def _near_pairs(rows: DataFrame, roots: DataFrame, similarity: float, shingle: i
     shingle sets are at least so similar.
 
     Each set has a prefix in one order of all shingles, rare ones first; similar sets share an element
-    of their prefixes. Pairs that sizes and places rule out are left out. Shingles of very many texts
-    are dealt into blocks of texts, each two of which meet in a task. At last a quarter of both sets is
-    compared, in 16 bits an element, which rules out nearly all texts that have only a passage in common.
+    of their prefixes. Texts that share one meet, and pairs that sizes and places rule out are not made.
+    Common shingles are told apart by size as well (see ``_common_meetings``). At last a quarter of both
+    sets is compared, in 16 bits an element, which rules out nearly all texts that have only a passage in common.
     """
     common, count = _common_shingles(rows, shingle, sample)
     held = rows.sparkSession.sparkContext.broadcast((common, count))
@@ -477,29 +573,29 @@ def _near_pairs(rows: DataFrame, roots: DataFrame, similarity: float, shingle: i
         sets = [np.unique(shingle_hashes(x, shingle)) for x in c["text"]]
         return {"t": c["t"], "n": [len(h) for h in sets], "prefix": [_prefix(h, similarity, *held.value).tobytes() for h in sets], "part": [_part(h).tobytes() for h in sets]}
 
-    prefixes = stored(map_arrow(rows, block, "t long, n int, prefix binary, part binary", ["t", "text"]).where("n > 0").dropDuplicates(["t"]), "near-prefixes")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, count = held.value
-        for batch in batches:
-            for first in range(0, batch.num_rows, 4096):
-                part = batch.slice(first, 4096)
-                t, n, root = (part.column(k).to_numpy() for k in range(3))
-                sets = [np.frombuffer(b, np.uint64) for b in part.column(3).to_pylist()]
-                size = np.array([len(x) for x in sets])
-                key, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-                place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
-                blocks = np.ones(len(key), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, key), len(common) - 1)
-                    blocks = np.where(common[at] == key, -(-count[at] * sample // meet), 1)
-                mine = (rehashed(t.view(np.uint64), 1)[of] % blocks.astype(np.uint64)).astype(np.int64)
-                row = np.repeat(np.arange(len(key)), blocks)
-                other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                low, high = np.minimum(mine[row], other), np.maximum(mine[row], other)
-                task = np.where(blocks[row] > 1, rehashed(key[row] + rehashed((low << 32 | high).astype(np.uint64), 3), 2), key[row])
-                at = of[row]
-                yield pa.RecordBatch.from_arrays([pa.array(task.view(np.int64)), pa.array(t[at]), pa.array(root[at]), pa.array(n[at].astype(np.int32)), pa.array(place[row].astype(np.int32))], names=["task", "t", "root", "n", "place"])
+    sizes = roots.groupBy("root").agg(F.count("*").alias("rank"))
+    made = map_arrow(rows, block, "t long, n int, prefix binary, part binary", ["t", "text"]).where("n > 0").dropDuplicates(["t"])
+    prefixes = stored(made.join(roots.join(sizes, "root"), "t"), "near-prefixes")
+    names = ["key", "t", "root", "rank", "n", "place"]
+    schema = "key long, t long, root long, rank long, n int, place int"
+
+    def spread(often: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common, count = held.value
+            frequent = common[count * sample > meet]
+            for batch in batches:
+                for first in range(0, batch.num_rows, 4096):
+                    part = batch.slice(first, 4096)
+                    t, root, rank, n = (part.column(k).to_numpy() for k in range(4))
+                    sets = [np.frombuffer(b, np.uint64) for b in part.column(4).to_pylist()]
+                    size = np.array([len(x) for x in sets])
+                    key, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                    place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+                    here = np.isin(key, frequent) if often else ~np.isin(key, frequent)
+                    key, of, place = key[here], of[here], place[here]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(t[of]), pa.array(root[of]), pa.array(rank[of]), pa.array(n[of].astype(np.int32)), pa.array(place.astype(np.int32))], names=names)
+
+        return run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
@@ -513,46 +609,21 @@ def _near_pairs(rows: DataFrame, roots: DataFrame, similarity: float, shingle: i
                 done = int(np.searchsorted(cols[0], cols[0][-1]))
                 kept, size = [[c[done:] for c in cols]], len(cols[0]) - done
                 cols = [c[:done] for c in cols]
-            start = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
-            mixed = np.minimum.reduceat(cols[2], start) != np.maximum.reduceat(cols[2], start)
-            here = np.repeat(mixed, np.diff(np.append(start, len(cols[0]))))
-            task, t, root, n, place = (c[here] for c in cols)
-            left, step = np.arange(len(task)), 0
-            found, many = [], 0
-            while True:
-                step += 1
-                left = left[left + step < len(task)]
-                left = left[task[left] == task[left + step]]
-                if not len(left):
-                    break
-                a, b = left, left + step
-                ok = (root[a] != root[b]) & _alike_sizes(n[a], n[b], place[a], place[b], similarity)
-                a, b = t[a[ok]], t[b[ok]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-                many += len(a)
-                if many > ROOM:
-                    yield pairs_of(found)
-                    found, many = [], 0
-            if many:
-                yield pairs_of(found)
-
-        def pairs_of(found: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = np.concatenate(found, axis=1)
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+            yield from _as_pairs(_meetings(*cols, similarity))
 
         for batch in batches:
-            kept.append([batch.column(k).to_numpy() for k in range(5)])
+            kept.append([batch.column(k).to_numpy() for k in range(6)])
             size += batch.num_rows
             if size > ROOM and kept[-1][0][-1] != kept[0][0][0]:
                 yield from flush(True)
         if size:
             yield from flush(False)
 
-    spread_ = prefixes.join(roots, "t").select("t", "n", "root", "prefix").mapInArrow(spread, "task long, t long, root long, n int, place int")
-    met = stored(spread_.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct(), "near-met")
+    columns = prefixes.select("t", "root", "rank", "n", "prefix")
+    met = columns.mapInArrow(spread(False), schema).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    if (count * sample > meet).any():
+        met = met.unionByName(_common_meetings(columns.mapInArrow(spread(True), schema), similarity, meet))
+    met = stored(met.distinct(), "near-met")
     side = lambda k: prefixes.select(F.col("t").alias(k), F.col("n").alias(f"n_{k}"), F.col("part").alias(f"of_{k}"))
 
     def allowed(c: dict[str, list]) -> dict[str, list]:
@@ -562,6 +633,62 @@ def _near_pairs(rows: DataFrame, roots: DataFrame, similarity: float, shingle: i
     return map_arrow(met.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.col("n_a") + F.col("n_b")), allowed, "a long, b long", ["a", "b", "n", "of_a", "of_b"])
 
 
+def _as_pairs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of each block, the lesser text first."""
+    for x, y in found:
+        a, b = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
+
+def _common_meetings(rows: DataFrame, similarity: float, meet: int) -> DataFrame:
+    """Pairs ``a, b`` as from ``_meetings`` for keys that very many texts have.
+
+    A key's texts are dealt by classes of size, and those of a class into blocks of about ``meet``. A text
+    looks for others in the classes that its size and place allow, in each of their blocks, and only where a
+    larger root than its own is: the copies of one text that are found to be so already, however many, look
+    for nobody. A task holds one block; those that look pass by.
+    """
+    rows = stored(rows.withColumn("class", F.floor(F.log2("n") / STEP).cast("int")), "near-frequent")
+    top = F.max(F.struct("rank", "root")).alias("top")
+    classes = rows.groupBy("key", "class").agg(F.ceil(F.count("*") / meet).cast("int").alias("blocks"), top)
+    own = F.struct(F.col("rank"), F.col("root"))
+    low, high = F.ceil(similarity * F.col("n") - 1e-6), F.floor((F.col("n") - F.col("place")) * ((1 + similarity) / similarity) - F.col("n") + 1e-6)
+    of = lambda c: F.floor(F.log2(c) / STEP).cast("int")
+    task = lambda block: F.xxhash64("key", "class", block).alias("task")
+    carried = ["t", "root", "rank", "n", "place"]
+    there = rows.join(classes, ["key", "class"]).select(task(F.pmod(F.xxhash64("t", F.lit(5)), F.col("blocks")).cast("int")), *carried, F.lit(False).alias("probes"))
+    seek = rows.where((high >= low) & (low > 0)).select("key", *carried, F.explode(F.sequence(of(low), of(high))).alias("class"))
+    seek = seek.join(classes, ["key", "class"]).where(own < F.col("top"))
+    seek = seek.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select(task(F.col("block").cast("int")), *carried, F.lit(True).alias("probes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["task", *carried, "probes"]
+        held: list[pa.RecordBatch] = []  # the texts of the task at hand that others look for
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            for first, last in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                part = batch.slice(int(first), int(last - first))
+                if held and held[0].column(0)[0] != part.column(0)[0]:
+                    held = []
+                probing = part.filter(part.column(6))
+                rest = part.filter(pa.compute.invert(part.column(6)))
+                if rest.num_rows:
+                    held.append(rest)
+                if probing.num_rows and held:
+                    both = pa.Table.from_batches([*held, probing]).combine_chunks()
+                    cols = {n: both.column(n).to_numpy() for n in names}
+                    yield from _as_pairs(_meetings(cols["task"], *(cols[c] for c in carried), similarity, cols["probes"]))
+
+    # Those that others look for come first in each task.
+    return there.unionByName(seek).repartition("task").sortWithinPartitions("task", "probes").mapInArrow(run, "a long, b long")
+
+
 def _similar(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The ``pairs`` (``a, b``) of texts whose shingle sets are at least so similar."""
     wanted = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
@@ -574,17 +701,13 @@ def _similar(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int)
     side = lambda k: sets.select(F.col("t").alias(k), F.col("shingles").alias(f"of_{k}"))
 
     def alike(c: dict[str, list]) -> dict[str, list]:
-        like = []
-        for x, y in zip(c["of_a"], c["of_b"], strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            like.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+        like = [_like(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(c["of_a"], c["of_b"], strict=True)]
         return {"a": [a for a, ok in zip(c["a"], like, strict=True) if ok], "b": [b for b, ok in zip(c["b"], like, strict=True) if ok]}
 
     return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), alike, "a long, b long", ["a", "b", "of_a", "of_b"])
 
 
-def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, coarse: int = 2, distance: int = 7, prints: int = 3, block_bytes: int = 4_000_000, naming: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, coarse: int = 2, distance: int = 7, prints: int = 3, family_bytes: int = 4_000_000, naming: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``df`` (``doc_id``, ``text``, ...) with one row of each group of near-duplicates: the one of the
     least ``doc_id``. Two texts are linked if the sets of their ``shingle``-word shingles have a Jaccard
     similarity of at least ``similarity``; groups are what links connect, and equal texts.
@@ -622,8 +745,8 @@ def keep_one_of_near(df: DataFrame, shingle: int = 5, similarity: float = 0.8, c
         rows = renamed(rows)
         texts = stored(renamed(printed).groupBy("t").agg(*every), "near-texts")
     rows = rows.drop("again")
-    members = stored(texts.select("t", "d", "size").join(_families(texts, prints, distance), "t"), "near-members")
-    links = components(_verified(members, rows, similarity, shingle, block_bytes), "near")
+    members = stored(texts.select("t", "d", "size", F.col("fp0").alias("fp")).join(_families(texts, prints, distance), "t"), "near-members")
+    links = components(_verified(members, rows, similarity, shingle, family_bytes), "near")
     placed = lambda found: texts.join(found.withColumnRenamed("node", "t"), "t", "left").select("t", "d", F.coalesce("root", "t").alias("root"))
     pairs = stored(_near_pairs(rows, placed(links).select("t", "root"), similarity, shingle), "near-pairs")
     links = links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(pairs, rows, similarity, shingle))
