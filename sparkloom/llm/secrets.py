@@ -4,7 +4,8 @@ Three fixed kinds of pattern, and one found by randomness: candidate strings who
 some window of 20 characters is over the limit of the string's character class. The entropy of each
 window follows from that of the window before: the counts of the character that leaves and of the one
 that enters change the running sum of c*log2(c). Strings on the allow list are suppressed, and so are
-candidates that touch a span of another kind.
+candidates that touch a span of another kind. Placeholder words cut a candidate into pieces, each of
+which is judged by itself, so that a random token behind such a word in a path is found.
 
 Places come from cutting the text at all matches: gaps and matches alternate, and their lengths add up.
 
@@ -30,14 +31,15 @@ WINDOW = 20
 #: Least entropy, in bits, of a window by character class. Random windows of 20 have about 3.3 bits
 #: over 16 characters, and about 4.0 over 64.
 HEX_BITS, BASE64_BITS = 2.9, 3.6
-#: What is no secret: words and numbers joined by signs (paths, slugs), UUIDs, runs and placeholders.
+#: What is no secret: words and numbers joined by signs (paths, slugs), UUIDs, runs of letters or digits.
 ALLOW = (
     r"^[-/_+]*([A-Za-z]+|[0-9]+)([-/_+]+([A-Za-z]+|[0-9]+))*[-/_+]*=*$",
     r"^[A-Za-z]+=*$",
     r"^[0-9]+=*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"([xX]{6}|[eE][xX][aA][mM][pP][lL][eE]|[pP][lL][aA][cC][eE][hH][oO][lL][dD][eE][rR]|0123456789|1234567890|[aA][bB][cC][dD][eE][fF][gG])",
 )
+#: Words that stand for a secret, or for no secret; they are no part of what is judged.
+PLACEHOLDER = r"([xX]{6}|[eE][xX][aA][mM][pP][lL][eE]|[pP][lL][aA][cC][eE][hH][oO][lL][dD][eE][rR]|0123456789|1234567890|[aA][bB][cC][dD][eE][fF][gG])"
 #: Candidates are examined in pieces of so many windows, so that long ones take linear time.
 PIECE = 200
 #: Matches of a text are walked through in stretches of so many, so that many of them take linear time;
@@ -114,11 +116,14 @@ def window_bits(text: Column, window: int = WINDOW) -> Column:
 
 
 def _random(candidate: Column) -> Column:
-    allowed = F.lit(False)
-    for pattern in ALLOW:
-        allowed = allowed | F.rlike(candidate, F.lit(pattern))
-    limit = F.when(F.rlike(candidate, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS))
-    return ~allowed & F.rlike(candidate, F.lit("[0-9]")) & F.rlike(candidate, F.lit("[A-Za-z]")) & (window_bits(candidate) >= limit)
+    def judged(piece: Column) -> Column:
+        allowed = F.lit(False)
+        for pattern in ALLOW:
+            allowed = allowed | F.rlike(piece, F.lit(pattern))
+        limit = F.when(F.rlike(piece, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS))
+        return ~allowed & F.rlike(piece, F.lit("[0-9]")) & F.rlike(piece, F.lit("[A-Za-z]")) & (window_bits(piece) >= limit)
+
+    return F.exists(F.split(candidate, PLACEHOLDER, -1), judged)
 
 
 def _blanked(text: Column, spans: Column) -> Column:
@@ -198,12 +203,13 @@ def _duck_spans(kind: str, pattern: str, keep: str) -> str:
 def _duck_sql() -> str:
     parts = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "entropy": CANDIDATE}
     lists = ",\n".join(f"string_split_regex(t, '{_duck(p)}') AS g_{k}, regexp_extract_all(t, '{_duck(p)}') AS w_{k}" for k, p in parts.items())
-    allow = " OR ".join(f"regexp_matches(w_entropy[i], '{_duck(p)}')" for p in ALLOW)
-    bits = f"list_max(list_transform(range(1, length(w_entropy[i]) - {WINDOW - 2}), lambda j: list_aggregate(string_split(substr(w_entropy[i], j, {WINDOW}), ''), 'entropy')))"
-    limit = f"CASE WHEN regexp_matches(w_entropy[i], '^([0-9a-f]+|[0-9A-F]+)$') THEN {HEX_BITS} ELSE {BASE64_BITS} END"
+    allow = " OR ".join(f"regexp_matches(x, '{_duck(p)}')" for p in ALLOW)
+    bits = f"list_max(list_transform(range(1, length(x) - {WINDOW - 2}), lambda j: list_aggregate(string_split(substr(x, j, {WINDOW}), ''), 'entropy')))"
+    limit = f"CASE WHEN regexp_matches(x, '^([0-9a-f]+|[0-9A-F]+)$') THEN {HEX_BITS} ELSE {BASE64_BITS} END"
+    judged = f"NOT ({allow}) AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') AND {bits} >= {limit}"
     keep = {
         "assign": "length(v_assign[i]) >= 6", "access": "length(w_access[i]) >= 20", "hex": "true",
-        "entropy": f"NOT ({allow}) AND regexp_matches(w_entropy[i], '[0-9]') AND regexp_matches(w_entropy[i], '[A-Za-z]') AND {bits} >= {limit}",
+        "entropy": f"len(list_filter(string_split_regex(w_entropy[i], '{_duck(PLACEHOLDER)}'), lambda x: {judged})) > 0",
     }
     spans = ",\n".join(f"{_duck_spans(k, p, keep[k])} AS s_{k}" for k, p in parts.items())
     listed = lambda s: f"array_to_string(list_transform({s}, lambda s: (['assign','access','hex','entropy'])[s.ord + 1] || ':' || s.start || ':' || s.end), ',')"
