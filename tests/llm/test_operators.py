@@ -330,10 +330,11 @@ def spans(text):
 
     more = []
     for m in re.finditer(secrets.CANDIDATE, text):
-        x = m[0]
-        limit = secrets.HEX_BITS if re.search("^([0-9a-f]+|[0-9A-F]+)$", x) else secrets.BASE64_BITS
-        if not any(re.search(p, x) for p in secrets.ALLOW) and re.search("[0-9]", x) and re.search("[A-Za-z]", x) and bits(x) >= limit and not any(a < m.end() and m.start() < e for a, _, e in base):
-            more.append((m.start(), 3, m.end()))
+        for x in re.sub(secrets.PLACEHOLDER, "\n", m[0]).split("\n"):
+            limit = secrets.HEX_BITS if re.search("^([0-9a-f]+|[0-9A-F]+)$", x) else secrets.BASE64_BITS
+            if not any(re.search(p, x) for p in secrets.ALLOW) and re.search("[0-9]", x) and re.search("[A-Za-z]", x) and bits(x) >= limit and not any(a < m.end() and m.start() < e for a, _, e in base):
+                more.append((m.start(), 3, m.end()))
+                break
     listed = lambda s: ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in s)
     n = Counter(k for _, k, _ in base)
     return n[0], n[1], n[2], hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + more))
@@ -352,6 +353,16 @@ def test_redaction(spark, rows):
     assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ['x [SECRET]" y', None, "[SECRET]!", "é [SECRET] é", "f81d4fae-7dec-11d0-a765-00a0c91e6bf6 see docs/guide-2020/page-one-two"]
 
 
+def test_placeholders_hide_no_secret(spark):
+    """A random token behind such a word in a path is found; a word with nothing random beside it is none."""
+    token = "wJ4lrXUtn7EMIaK7MDENGbPxRfiCYzq83Lk0Vb2N"
+    texts = [f"https://x.com/example/settings/{token}", "aws_example_key_AKexampleplaceholder123", "xxxxxxxxxxxxxxxxxxxxxxx1", f"0123456789{token[:10]}", f"placeholder{token}", "/docs/example/page-2020/guide"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [s.ord for s in r.found["all"]] for r in secrets.scanned(df).collect()}
+    assert found == {0: [3], 1: [], 2: [], 3: [], 4: [3], 5: []}
+    assert all([3] * (f":{len(t)}" in spans(t)[4]) == found[k] for k, t in enumerate(texts))
+
+
 def test_long_candidates_are_seen_whole(spark):
     rnd = np.random.default_rng(1)
     tail = "".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20))
@@ -623,9 +634,9 @@ def test_cut_texts_are_valid(spark):
     assert out == ["xq", "y", None]
 
 
-@pytest.mark.parametrize("block_bytes", [4_000_000, 1500])
-def test_near_duplicates_in_blocks(spark, block_bytes):
-    """A family over the bound is compared block by block with the same result."""
+@pytest.mark.parametrize("family_bytes", [4_000_000, 1500])
+def test_near_duplicates_in_large_families(spark, family_bytes):
+    """A family over the bound is compared by central texts and rare shingles with the same result."""
     import random
 
     rnd = random.Random(1)
@@ -644,7 +655,7 @@ def test_near_duplicates_in_blocks(spark, block_bytes):
                 if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     root[a] = root[b] = min(root[a], root[b])
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = simhash.keep_one_of_near(df, distance=12, block_bytes=block_bytes)
+    kept = simhash.keep_one_of_near(df, distance=12, family_bytes=family_bytes)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
