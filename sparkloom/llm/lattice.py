@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe
 from sparkloom.llm.bpe_codec import BYTE_BPE
-from sparkloom.llm.common import discard, documents, stored, text_or_empty
+from sparkloom.llm.common import discard, documents, in_arrow, stored, text_or_empty
 
 FOLDS, ALPHA = 10, 0.1
 #: Words, and their bytes, whose counts and probabilities go to every task: under 20 MB.
@@ -196,13 +196,26 @@ def word_counts(rows: DataFrame) -> DataFrame:
                     held = Counter()
         yield _counted(held)
 
-    return rows.select(text_or_empty().alias("text"), "out").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return in_arrow(rows.select(text_or_empty().alias("text"), "out"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _counted(held: Counter[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
 
+def _many(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Batches put together, as words of one length are worked on at once."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.concat_batches(held)
+
+
 def scored_words(counts: DataFrame, logp: dict[bytes, float]) -> DataFrame:
     """``counts`` with ``m``: log10 of each word's probability, that of the end included."""
     sent = counts.sparkSession.sparkContext.broadcast(logp)
@@ -211,14 +224,14 @@ def scored_words(counts: DataFrame, logp: dict[bytes, float]) -> DataFrame:
         inner = dict(sent.value)
         end = inner.pop(END) / log(10)
         lattice = Lattice(inner)
-        for batch in batches:
+        for batch in _many(batches):
             words = batch.column(0).to_pylist()
             real = [k for k, w in enumerate(words) if w != END]
             m = np.full(len(words), end)
             m[real] = lattice.marginals([words[k] for k in real])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(m)], names=["word", "c", "m"])
 
-    return counts.mapInArrow(run, "word binary, c long, m double")
+    return in_arrow(counts, run, "word binary, c long, m double")
 
 
 def frequent(scored: DataFrame) -> dict[bytes, tuple[int, float]]:
@@ -250,7 +263,7 @@ def fit(counts: DataFrame, path: str, rounds: int = ROUNDS) -> dict[bytes, float
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(sent.value)
             uses, ends = np.zeros(len(lattice.entries)), 0
-            for batch in batches:
+            for batch in _many(batches):
                 words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
                 real = [k for k, w in enumerate(words) if w != END]
                 ends += int(c.sum() - c[real].sum())
@@ -258,7 +271,7 @@ def fit(counts: DataFrame, path: str, rounds: int = ROUNDS) -> dict[bytes, float
             some = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array([*(lattice.entries[k] for k in some), END], pa.binary()), pa.array([*uses[some].tolist(), float(ends)], pa.float64())], names=["entry", "uses"])
 
-        summed = counts.mapInArrow(run, "entry binary, uses double").groupBy("entry").agg(F.sum("uses").alias("uses")).collect()
+        summed = in_arrow(counts, run, "entry binary, uses double").groupBy("entry").agg(F.sum("uses").alias("uses")).collect()
         uses = {bytes(r.entry): r.uses for r in summed}
         ends = uses.pop(END, 0.0)
         total = sum(uses.values()) + ends + SMOOTHING * (len(logp) + 1)
@@ -307,7 +320,7 @@ def score(df: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=names)
 
     schema = "row long, doc_id long, word binary, cnt long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    parts = rows.mapInArrow(run, schema).join(scored, "word", "left")
+    parts = in_arrow(rows, run, schema).join(scored, "word", "left")
     rare = F.col("cnt") * F.log10((F.coalesce(F.col("c"), F.lit(0)) + ALPHA) / F.lit(floor))
     summed = parts.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),

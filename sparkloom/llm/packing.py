@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe
 from sparkloom.llm.bpe_codec import BYTE_BPE
-from sparkloom.llm.common import arrow_types, documents, text_or_empty
+from sparkloom.llm.common import arrow_types, documents, in_arrow, text_or_empty
 
 MAX_TOKENS, MAX_SEGMENTS, END = 1024, 16, 0
 #: Loss-bearing tokens of a sequence of instruction data.
@@ -185,7 +185,7 @@ def pack_documents(df: DataFrame, path: str | None = None, tokens: int = MAX_TOK
     bears = (F.col(bearing) if bearing else F.lit(None)).cast("long")
     # Named by place: columns of ``df`` may have any names.
     columns = [F.col("doc_id").alias("c0"), text_or_empty().alias("c1"), before.alias("c2"), bears.alias("c3"), *(F.col(k).cast("long").alias(f"c{i + 4}") for i, k in enumerate(keep))]
-    return df.select(*columns).mapInArrow(run, schema)
+    return in_arrow(df.select(*columns), run, schema)
 
 
 def pack_conversations(turns: DataFrame, path: str | None = None, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import documents, map_arrow, text_or_empty
+from sparkloom.llm.common import documents, map_arrow, small_batches, text_or_empty
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -141,7 +141,7 @@ def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
 
         return pd.Series([judged(measure(t))[1] for t in texts], dtype=bool)
 
-    return df.where(passes(text_or_empty(text)))
+    return small_batches(df).where(passes(text_or_empty(text)))
 
 
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

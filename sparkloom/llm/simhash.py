@@ -34,14 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import discard, documents, map_arrow, stored, text_or_empty, unused
+from sparkloom.llm.common import discard, documents, in_arrow, map_arrow, stored, text_or_empty, unused
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Children of a node, and searches that go down together.
 FANOUT, SEARCHES = 8, 8192
 #: Entries of one block value that a task takes at most; groups beyond are split by further bits.
 GROUP = 20_000
-ROOM = 1_000_000
+ROOM = 500_000
 #: One in so many texts tells which shingles are common: those that so many of them have. Texts of a
 #: shingle that meet in a task, at about.
 SAMPLE, COMMON, MEET = 16, 4, 2000
@@ -122,7 +122,7 @@ class GrayIndex:
     """
 
     def __init__(self, group: np.ndarray, codes: np.ndarray, fanout: int = FANOUT):
-        order = np.lexsort((gray_rank(codes), group))
+        self.order = order = np.lexsort((gray_rank(codes), group))
         self.group, self.codes = group[order], codes[order]
         #: Per level from the leaves: first child, mask of shared bits, their values, first and last leaf.
         self.levels: list[dict[str, np.ndarray]] = []
@@ -184,10 +184,10 @@ class GrayIndex:
         return label
 
     def stars(self, distance: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (member, centre) of the codes' components within their groups."""
+        """Pairs (member, centre) of the codes' components within their groups, as places in what was given."""
         label = self.connected(distance)
         away = np.flatnonzero(label != np.arange(len(self.codes)))
-        return self.codes[away], self.codes[label[away]]
+        return self.order[away], self.order[label[away]]
 
 
 def _widths(bits: int, parts: int) -> list[int]:
@@ -216,7 +216,7 @@ def _parted(value: Column, bits: int, parts: int, key: Column, level: int) -> Co
 
 def _block_keys(entries: DataFrame, distance: int) -> DataFrame:
     """Each fingerprint under its ``distance + 1`` parts: two within the distance agree in one."""
-    return entries.select("fp", _parted(F.col("fp"), 64, distance + 1, F.lit(0).cast("long"), 0).alias("at")).select("at.*", "fp")
+    return entries.select("space", "fp", _parted(F.col("fp"), 64, distance + 1, F.col("space"), 0).alias("at")).select("space", "at.*", "fp")
 
 
 def _refined(keys: DataFrame, distance: int, limit: int) -> DataFrame:
@@ -231,45 +231,48 @@ def _refined(keys: DataFrame, distance: int, limit: int) -> DataFrame:
         if not bits:
             return keys if settled is None else settled.unionByName(keys)
         marked = keys.join(hot, ["key", "bits"], "left")
-        rest = marked.where("hot IS NULL").select("key", "rest", "bits", "fp")
-        split = [marked.where(F.col("hot") & (F.col("bits") == n)).select("fp", _parted(F.col("rest"), n, distance + 1, F.col("key"), level).alias("at")).select("at.*", "fp") for n in bits]
+        rest = marked.where("hot IS NULL").select("space", "key", "rest", "bits", "fp")
+        split = [marked.where(F.col("hot") & (F.col("bits") == n)).select("space", "fp", _parted(F.col("rest"), n, distance + 1, F.col("key"), level).alias("at")).select("space", "at.*", "fp") for n in bits]
         settled = rest if settled is None else settled.unionByName(rest)
         keys = stored(reduce(DataFrame.unionByName, split), "near-parts")
 
 
 def star_links(entries: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints (``fp``): for each block value, a star for each
-    component of its entries. What is connected by all of them is what is connected at ``distance``."""
-    keys = _refined(_block_keys(entries, distance), distance, group)
+    """Links ``space, a, b`` between fingerprints (``space, fp``, distinct) of one space: for each block value,
+    a star for each component of its entries. What is connected by all of them is what is connected at ``distance``."""
+    keys = _refined(_block_keys(entries.withColumn("space", F.col("space").cast("long")), distance), distance, group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        kept: list[list[np.ndarray]] = []
         size = 0
 
         def flush(upto: bool) -> Iterator[pa.RecordBatch]:
             nonlocal kept, size
-            key, fp = (np.concatenate(x) for x in zip(*kept, strict=True))
+            cols = [np.concatenate(x) for x in zip(*kept, strict=True)]
             kept, size = [], 0
             if upto:  # the last group may go on
-                done = np.searchsorted(key, key[-1])
-                kept, size = [(key[done:], fp[done:])], len(key) - done
-                key, fp = key[:done], fp[:done]
-            again = np.zeros(len(key), bool)
-            again[1:] |= key[1:] == key[:-1]
-            again[:-1] |= key[1:] == key[:-1]
+                done = np.searchsorted(cols[0], cols[0][-1])
+                kept, size = [[c[done:] for c in cols]], len(cols[0]) - done
+                cols = [c[:done] for c in cols]
+            order = np.lexsort((cols[2], cols[0]))
+            key, fp, space = (c[order] for c in cols)
+            same = (key[1:] == key[:-1]) & (space[1:] == space[:-1])  # spaces whose keys meet by chance stay apart
+            again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             if again.any():
-                a, b = GrayIndex(key[again], fp[again]).stars(distance)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                one = np.cumsum(np.concatenate([[False], ~same]))[again]
+                fp, space = fp[again], space[again]
+                a, b = GrayIndex(one, fp.view(np.uint64)).stars(distance)
+                yield pa.RecordBatch.from_arrays([pa.array(space[a]), pa.array(fp[a]), pa.array(fp[b])], names=["space", "a", "b"])
 
         for batch in batches:
-            kept.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
+            kept.append([batch.column(k).to_numpy() for k in range(3)])
             size += batch.num_rows
             if size > ROOM and kept[-1][0][-1] != kept[0][0][0]:
                 yield from flush(True)
         if kept:
             yield from flush(False)
 
-    return keys.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(run, "a long, b long").distinct()
+    return in_arrow(keys.repartition("key").sortWithinPartitions("key").select("key", "fp", "space"), run, "space long, a long, b long").distinct()
 
 
 def components(links: DataFrame, name: str = "op9", rounds: int | None = None) -> DataFrame:
@@ -320,7 +323,7 @@ def fingerprints(df: DataFrame, size: int = SHINGLE) -> DataFrame:
 def grouped(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fp, component_id`` of each row of ``prints`` (``doc_id``, ``fp``)."""
     entries = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "op9-entries")
-    roots = components(star_links(entries.select("fp"), distance))
+    roots = components(star_links(entries.select(F.lit(0).alias("space"), "fp"), distance).select("a", "b"))
     placed = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(placed.join(ids, "root").select("fp", "component_id"), "fp")
@@ -401,7 +404,7 @@ def _verified(members: DataFrame, rows: DataFrame, similarity: float, shingle: i
         if len(held) > 1:
             yield from flush()
 
-    links = inside.select("family", "t", "shingles").repartition("family").sortWithinPartitions("family", "t").mapInArrow(run, "a long, b long")
+    links = in_arrow(inside.select("family", "t", "shingles").repartition("family").sortWithinPartitions("family", "t"), run, "a long, b long")
     if large.isEmpty():
         return links
     return links.unionByName(_central(members.join(large, "family", "left_semi"), rows, similarity, shingle))
@@ -448,15 +451,13 @@ def _families(texts: DataFrame, prints: int, distance: int) -> DataFrame:
     Texts and fingerprints are nodes: a text hangs on each of its fingerprints that it shares or that
     is linked, and linked fingerprints hang together.
     """
-    edges = None
-    for k in range(prints):
-        own = texts.select("t", F.col(f"fp{k}").alias("fp"))
-        node = lambda c, k=k: F.xxhash64(F.lit(k), F.col(c))
-        counted = own.groupBy("fp").count()
-        links = stored(star_links(counted.select("fp"), distance), "near-stars")
-        live = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).union(counted.where("count > 1").select("fp")).distinct()
-        part = links.select(node("a").alias("a"), node("b").alias("b")).unionByName(own.join(live, "fp").select(F.col("t").alias("a"), node("fp").alias("b")))
-        edges = part if edges is None else edges.unionByName(part)
+    own = texts.select("t", F.posexplode(F.array(*(f"fp{k}" for k in range(prints)))).alias("space", "fp")).withColumn("space", F.col("space").cast("long"))
+    counted = stored(own.groupBy("space", "fp").count(), "near-counted")
+    links = stored(star_links(counted.select("space", "fp"), distance), "near-stars")
+    node = lambda c: F.xxhash64("space", c)
+    ends = [links.select("space", F.col(c).alias("fp")) for c in "ab"]
+    live = reduce(DataFrame.unionByName, [*ends, counted.where("count > 1").select("space", "fp")]).distinct()
+    edges = links.select(node("a").alias("a"), node("b").alias("b")).unionByName(own.join(live, ["space", "fp"]).select(F.col("t").alias("a"), node("fp").alias("b")))
     found = components(edges, "near-families")
     whole = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
     return texts.select("t").join(whole.select(F.col("node").alias("t"), F.col("root").alias("family")), "t")
@@ -620,9 +621,9 @@ def _near_pairs(rows: DataFrame, roots: DataFrame, similarity: float, shingle: i
             yield from flush(False)
 
     columns = prefixes.select("t", "root", "rank", "n", "prefix")
-    met = columns.mapInArrow(spread(False), schema).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    met = in_arrow(in_arrow(columns, spread(False), schema).repartition("key").sortWithinPartitions("key"), run, "a long, b long")
     if (count * sample > meet).any():
-        met = met.unionByName(_common_meetings(columns.mapInArrow(spread(True), schema), similarity, meet))
+        met = met.unionByName(_common_meetings(in_arrow(columns, spread(True), schema), similarity, meet))
     met = stored(met.distinct(), "near-met")
     side = lambda k: prefixes.select(F.col("t").alias(k), F.col("n").alias(f"n_{k}"), F.col("part").alias(f"of_{k}"))
 
@@ -686,7 +687,7 @@ def _common_meetings(rows: DataFrame, similarity: float, meet: int) -> DataFrame
                     yield from _as_pairs(_meetings(cols["task"], *(cols[c] for c in carried), similarity, cols["probes"]))
 
     # Those that others look for come first in each task.
-    return there.unionByName(seek).repartition("task").sortWithinPartitions("task", "probes").mapInArrow(run, "a long, b long")
+    return in_arrow(there.unionByName(seek).repartition("task").sortWithinPartitions("task", "probes"), run, "a long, b long")
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:

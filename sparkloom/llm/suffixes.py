@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import arrow_types, discard, documents, stored, text_or_empty, unused
+from sparkloom.llm.common import arrow_types, discard, documents, in_arrow, stored, text_or_empty, unused
 
 DEPTH, CORE = 200, 50
 STARTS = DEPTH - CORE + 1
@@ -265,7 +265,7 @@ def _all_runs(rows: DataFrame) -> DataFrame:
                 at = last
 
     long_ones = rows.where(F.octet_length("raw") >= DEPTH).select("d", "t", "raw")
-    return long_ones.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return in_arrow(long_ones, run, ", ".join(f"{n} long" for n in names))
 
 
 TEXT = "key long, whole long, n long, lo int, hi int, offset int, raw binary"
@@ -291,7 +291,7 @@ def _run_texts(wanted: DataFrame, rows: DataFrame) -> DataFrame:
                 cols = (core, whole, n, [0] * len(core), [STARTS - 1] * len(core), offset, out)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, types, strict=True)], names=[k for k, _ in types])
 
-    return rows.select("d", "t", "raw").join(lists.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "raw", "runs").mapInArrow(cut, TEXT)
+    return in_arrow(rows.select("d", "t", "raw").join(lists.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "raw", "runs"), cut, TEXT)
 
 
 def _sorted_buckets(texts: DataFrame) -> DataFrame:
@@ -327,7 +327,7 @@ def _sorted_buckets(texts: DataFrame) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return texts.select("key", "whole", "n", "raw").repartition("key").sortWithinPartitions("key", "whole").mapInArrow(run, "key long, whole long, a long, b long")
+    return in_arrow(texts.select("key", "whole", "n", "raw").repartition("key").sortWithinPartitions("key", "whole"), run, "key long, whole long, a long, b long")
 
 
 def halves(raw: bytes, lo: int, hi: int, offset: int) -> Iterator[tuple[int, int, int, int, int, int, bytes]]:
@@ -369,7 +369,8 @@ def _settled(texts: DataFrame, heavy: DataFrame | None, wide: int) -> DataFrame:
                     out += [(key, whole, n, *half) for half in halves(raw, lo, hi, offset)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    parts = stored(texts.join(heavy, "key", "left_semi").select("key", "whole", "n", "lo", "hi", "offset", "raw").mapInArrow(run, schema), "op8-parts")
+    wide_ones = texts.join(heavy, "key", "left_semi").select("key", "whole", "n", "lo", "hi", "offset", "raw")
+    parts = stored(in_arrow(wide_ones, run, schema), "op8-parts")
     distinct = parts.groupBy("part_key", "part_whole").agg(F.sum("n").alias("n"), F.min(F.struct("lo", "hi", "offset", "raw")).alias("of"))
     distinct = stored(distinct.select(F.col("part_key").alias("key"), F.col("part_whole").alias("whole"), "n", "of.*"), "op8-halves")
     # A bucket of one offset holds one string, counted; it needs no further halving.
@@ -433,7 +434,7 @@ def digest(df: DataFrame, wide: int = WIDE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], type=t) for t in types], names=names)
 
     joined = rows.join(repeated_spans(rows, wide).hint("shuffle_hash"), ["d", "t"], "left").select("doc_id", "raw", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return in_arrow(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(df: DataFrame, wide: int = WIDE) -> DataFrame:

@@ -534,9 +534,11 @@ def test_gray_index(distance):
 def test_large_groups_are_split_exactly(spark, distance):
     rng = np.random.default_rng(9)
     codes = np.unique(rng.integers(0, 1 << 12, 500, dtype=np.uint64) * np.uint64(4097))
-    df = spark.createDataFrame([(simhash.signed(int(c)),) for c in codes], "fp long")
+    df = spark.createDataFrame([(k, simhash.signed(int(c))) for k in (0, 1) for c in (codes if k == 0 else codes[::7])], "space int, fp long")
     links = simhash.star_links(df, distance, group=40)
-    root = {r.node: r.root for r in simhash.components(links).collect()}
+    apart = {(r.a, r.b) for r in links.where("space = 1").collect()}
+    assert all({x, y} <= {simhash.signed(int(c)) for c in codes[::7]} for x, y in apart)
+    root = {r.node: r.root for r in simhash.components(links.where("space = 0").select("a", "b")).collect()}
     label = united(codes, distance)
     groups = defaultdict(set)
     for c, x in zip(codes.tolist(), label.tolist(), strict=True):
@@ -725,11 +727,11 @@ def test_components_of_components_end_in_small_groups(spark):
     """Fingerprints that share nearly all bits: groups are split more than twice."""
     rng = np.random.default_rng(1)
     codes = np.unique(rng.integers(0, 1 << 14, 3000, dtype=np.uint64) << np.uint64(3))
-    df = spark.createDataFrame([(simhash.signed(int(c)),) for c in codes], "fp long")
+    df = spark.createDataFrame([(0, simhash.signed(int(c))) for c in codes], "space long, fp long")
     keys = simhash._refined(simhash._block_keys(df, 3), 3, 100)
     assert keys.groupBy("key", "bits").count().agg(F.max("count")).first()[0] <= 2**11
     assert min(r.bits for r in keys.select("bits").distinct().collect()) < 27
-    root = {r.node: r.root for r in simhash.components(simhash.star_links(df, 3, group=100)).collect()}
+    root = {r.node: r.root for r in simhash.components(simhash.star_links(df, 3, group=100).select("a", "b")).collect()}
     label = united(codes, 3)
     found, groups = defaultdict(set), defaultdict(set)
     for c, x in zip(codes.tolist(), label.tolist(), strict=True):
