@@ -47,7 +47,7 @@ from sparkloom.llm.common import arrow_types, discard, documents, in_arrow, stor
 DEPTH, CORE = 200, 50
 STARTS = DEPTH - CORE + 1
 #: Bytes of texts that are hashed together, and of bucket texts that are sorted together (under 2^21).
-BLOCK, BUCKET = 1_000_000, 1_800_000
+BLOCK, BUCKET = 500_000, 800_000
 #: Bytes of distinct texts of a bucket above which it is halved.
 WIDE = 400_000
 #: Names of rows that a task remembers, so as to cut repeated ones once.
