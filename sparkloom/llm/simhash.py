@@ -41,7 +41,8 @@ SHINGLE, DISTANCE, SEED = 3, 3, 42
 FANOUT, SEARCHES = 8, 8192
 #: Entries of one block value that a task takes at most; groups beyond are split by further bits.
 GROUP = 20_000
-ROOM = 500_000
+#: Entries that are indexed together, and rows or pairs that are looked at together, at about.
+ENTRIES, ROOM = 120_000, 300_000
 #: One in so many texts tells which shingles are common: those that so many of them have. Texts of a
 #: shingle that meet in a task, at about.
 SAMPLE, COMMON, MEET = 16, 4, 2000
@@ -267,7 +268,7 @@ def star_links(entries: DataFrame, distance: int = DISTANCE, group: int = GROUP)
         for batch in batches:
             kept.append([batch.column(k).to_numpy() for k in range(3)])
             size += batch.num_rows
-            if size > ROOM and kept[-1][0][-1] != kept[0][0][0]:
+            if size > ENTRIES and kept[-1][0][-1] != kept[0][0][0]:
                 yield from flush(True)
         if kept:
             yield from flush(False)
