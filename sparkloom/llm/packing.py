@@ -19,6 +19,7 @@ too; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -46,12 +47,32 @@ LEAST_CUT = 8
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
+#: A stretch of white space that the compiled library's pattern need not take: a few million overflow its stack.
+BLANK = 10_000
+
+
+class CompiledEncoder:
+    """Whole texts encoded by the compiled library, which gives the same ids; texts with a special token's
+    string, which it would take for ordinary text, or a very long blank go to the encoder of operator 10."""
+
+    def __init__(self, path: str):
+        v = bpe.vocabulary(path)
+        self.special, self.other = tuple(v.special), bpe.encoder(path)
+        self.blank = re.compile(rf"\s{{{BLANK}}}")
+        self.ordinary = tiktoken.Encoding("texts", pat_str=bpe.PATTERN, mergeable_ranks=v.ids, special_tokens={})._core_bpe.encode_ordinary
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        return [self.other.encode(t) if self._odd(t) else np.array(self.ordinary(t), "<u4").tobytes() for t in texts]
+
+    def _odd(self, text: str) -> bool:
+        return any(s in text for s in self.special) or (len(text) >= BLANK and bool(self.blank.search(text)))
+
+
 @lru_cache(maxsize=2)
-def fast_encoder(path: str) -> bpe.Encoder:
-    """Whole-text encoder whose new pre-tokens are merged by the compiled library, one per worker."""
-    v = bpe.vocabulary(path)
-    single = tiktoken.Encoding("pieces", pat_str=bpe.PATTERN, mergeable_ranks=v.ids, special_tokens={})._core_bpe.encode_single_piece
-    return bpe.Encoder(v, lambda pieces: [single(p) for p in pieces])
+def fast_encoder(path: str) -> CompiledEncoder:
+    """One encoder per worker."""
+    return CompiledEncoder(path)
 
 
 def pack(items: list[tuple[int, int, int]], limits: tuple[int, int, int]) -> list[list[tuple[int, int, int]]]:

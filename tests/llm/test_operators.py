@@ -750,6 +750,19 @@ def test_secrets_of_very_many_matches(spark):
     assert [tuple(s) for s in out[1]] == sorted(want) and [tuple(s) for s in out[2]] == [(0, 0, 14)]
 
 
+def test_compiled_encoder_of_odd_texts():
+    """Special strings, very long blanks and words, and random mixtures give the same ids as the library of the contract."""
+    import random
+
+    t, enc, rnd = Tokenizer.from_file(BPE), packing.fast_encoder(BPE), random.Random(1)
+    signs = [" ", "  ", "\n", "\t", "a", "é", "日", "'s", "'ll", "1", "23", "#", ".", "\u0301", "😀", "<|endoftext|>", "word", "The", "\r\n", "\x1c", "\u0085", "ſ"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 30))) for _ in range(1500)]
+    texts += [" " * 30_000, "x" + " \t" * 9_000 + "y", "\n" * 12_000 + "z", "a" * 40_000, "日本" * 9_000]
+    for text, packed in zip(texts, enc.encode_many(texts), strict=True):
+        assert np.frombuffer(packed, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert len(enc.encode_many([" " * 4_000_000 + "x"])[0]) > 4
+
+
 def test_packing_limits_all_bind(spark, sf):
     """Answers of conversations after their prompts: each of the three limits changes the result when lifted."""
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
