@@ -203,8 +203,8 @@ def ddl_indexes(t, spark, sf):
     return spark.createDataFrame(rows, "table_name string, statement string")
 
 
-@query("""SELECT CAST(port_id AS INTEGER) AS port_id, at, logged, CAST(fee AS DOUBLE) AS fee FROM (
-    SELECT 1 AS port_id, '12:08:15' AS at, '2015-05-30 09:06:36' AS logged, 5.5 AS fee UNION ALL SELECT 2, '09:14:12', '2016-06-22 09:15:45', 0.0 UNION ALL SELECT 3, NULL, NULL, NULL
+@query("""SELECT CAST(port_id AS INTEGER) AS port_id, called, logged, CAST(fee AS DOUBLE) AS fee FROM (
+    SELECT 1 AS port_id, '12:08:15' AS called, '2015-05-30 09:06:36' AS logged, 5.5 AS fee UNION ALL SELECT 2, '09:14:12', '2016-06-22 09:15:45', 0.0 UNION ALL SELECT 3, NULL, NULL, NULL
     UNION ALL SELECT n_nationkey + 100, NULL, NULL, 1.0 FROM nation WHERE n_regionkey = 1)""")
 def sql_data_changes(t, spark, sf):
     """Typed literals, ROW, columns that are left out, OVERRIDING, rows from a query, and a sequence of changes."""
@@ -218,7 +218,7 @@ def sql_data_changes(t, spark, sf):
         INSERT INTO call (port_id, fee) OVERRIDING USER VALUE SELECT n_nationkey + 100, 1.0 FROM nation WHERE n_regionkey = 1;
         UPDATE call SET at = TIME '09:14:12', logged = TIMESTAMP '2016-06-22 09:15:45', fee = 0 WHERE port_id IN (SELECT id FROM port WHERE opened > DATE '1977-01-01');
         DELETE FROM call WHERE port_id > 5 AND at = TIME '23:00:00'""")
-    return session.run("SELECT port_id, at, date_format(logged, 'yyyy-MM-dd HH:mm:ss') AS logged, fee FROM call")
+    return session.run("SELECT port_id, at AS called, date_format(logged, 'yyyy-MM-dd HH:mm:ss') AS logged, fee FROM call")
 
 
 @query("SELECT s_name, s_acctbal FROM supplier WHERE s_acctbal BETWEEN 1000 AND 5000")
