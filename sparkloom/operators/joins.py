@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Strategies by name, and the hint that asks for each. ``index`` broadcasts the left side, whose rows
-#: would look up the right one's; ``bitmap`` has no hint.
+#: would look up the right one's; ``built`` and ``sorted``, which the plan search chooses, ask for a hash table
+#: (broadcast where it is small) and for sorting (where neither side is small); ``bitmap`` has no hint.
 HINTS = {"nested_loops": "shuffle_replicate_nl", "merge": "merge", "hash": "shuffle_hash", "broadcast": "broadcast"}
 #: A side is broadcast, or a partition of it built into a hash table, only if it is at most so large.
 BROADCAST_BYTES = 64 << 20
@@ -21,6 +22,10 @@ def hinted(left: DataFrame, right: DataFrame, strategy: str | None) -> tuple[Dat
     at its size is sorted and merged instead."""
     if strategy == "index":
         return (left.hint("broadcast") if size_of(left) <= BROADCAST_BYTES else left), right
+    if strategy == "built":
+        strategy = "broadcast" if size_of(right) <= BROADCAST_BYTES else "hash"
+    elif strategy == "sorted":
+        strategy = "merge" if min(size_of(left), size_of(right)) > BROADCAST_BYTES else None
     if strategy not in HINTS:
         return left, right
     if strategy == "broadcast" and size_of(right) > BROADCAST_BYTES:

@@ -82,18 +82,25 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return sha256(repr(files).encode()).hexdigest()
 
 
+#: Stored statistics that this process has read or written, by their place.
+_read: dict[str, dict] = {}
+
+
 def analyze(spark: SparkSession, sf_dir: str, name: str) -> Catalog:
     """Statistics and checked keys of a table, stored under its files' fingerprint: computed once for
     these files, and read back by every later plan."""
     at = f"{shared_dir(spark)}/statistics/{name}-{fingerprint(spark, f'{sf_dir}/{name}.parquet')}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(at)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(where):
-        return Catalog.from_plain(json.loads("\n".join(r.value for r in spark.read.text(at, wholetext=True).collect())))
+    if at in _read:
+        return Catalog.from_plain(_read[at])
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")  # there once all is written
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        _read[at] = json.loads("\n".join(r.value for r in spark.read.text(at, wholetext=True).collect()))
+        return Catalog.from_plain(_read[at])
     found = Catalog()
     found.describe(name, table(spark, sf_dir, name), (KEYS[name],) if name in KEYS else (), FOREIGN.get(name, ()))
-    spark.createDataFrame([(json.dumps(found.to_plain()),)], "value string").coalesce(1).write.mode("ignore").text(at)
+    text = json.dumps(found.to_plain())
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("ignore").text(at)
+    _read[at] = json.loads(text)
     return found
 
 
